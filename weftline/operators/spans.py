@@ -34,10 +34,10 @@ def merge_sessions(events: DataFrame, keys: list[str], start: str = "s", end: st
     """Unions of touching or overlapping [start, end] (int64) per ``keys``, by ``session_window``."""
     twice = F.timestamp_micros(F.col(start) * 2)
     seconds = ((F.col(end) - F.col(start)) * 2 + 1).cast("decimal(24,0)") / F.lit(1_000_000).cast("decimal(7,0)")
-    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    length = F.make_interval(secs=seconds.cast("decimal(18,6)"))
     return (
         events.select(*keys, twice.alias("_t"), length.alias("_len"))
-        .groupBy(*keys, F.session_window("_t", F.col("_len").cast("string")).alias("_w"))
+        .groupBy(*keys, F.session_window("_t", F.col("_len")).alias("_w"))
         .agg(F.count("*").alias("n_events"))
         .select(
             *keys,
