@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import orphans, spans
+from weftline.operators import instants, orphans, spans
 from weftline.sources.tables import table
 
 #: (table, its record id, the reference, parent table, parent key)
@@ -41,6 +41,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.covered_and_gaps(events, "entity_id", "start_time_utc", "end_time_utc")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = instants.normalise(
+        table(spark, sf_dir, "temporal_requests"), key="request_id", text="text", zone="zone_name", reference="reference_date"
+    )
+    answered = instants.normalise(table(spark, sf_dir, "temporal_responses"), key="request_id", text="start_time_utc")
+    return (
+        asked.select(F.lit("text").alias("field_name"), "request_id", "utc_us")
+        .unionByName(answered.select(F.lit("start_time_utc").alias("field_name"), "request_id", "utc_us"))
+        .distinct()
+    )
+
+
 _P1_CASES = """
 WITH kids AS (
   SELECT 'investigations' t, id rid, lead_officer_id ref, created_at, ingested_at FROM investigations
@@ -71,7 +83,7 @@ UNION ALL SELECT entity_id, 'gap', e, nx FROM l WHERE nx IS NOT NULL
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
