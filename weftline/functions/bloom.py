@@ -48,9 +48,9 @@ def build(keys: DataFrame, key: str, n_bits: int, k: int = 5) -> DataFrame:
 
 def might_contain(words: Column, key: Column, n_bits: int, k: int = 5) -> Column:
     """False only for keys that are certainly absent; null for a null key."""
-    out = F.lit(True)
-    for p in _positions(key, n_bits, k):
+    def set_bit(p: Column) -> Column:
         word = F.get(words, F.shiftright(p, 6).cast("int"))
-        bit = F.call_function("shiftright", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
-        out = out & (bit == 1)
-    return F.when(key.isNotNull(), out)
+        return F.call_function("shiftright", word, p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    # one reference to ``words``, so that a scalar subquery is planned once
+    return F.when(key.isNotNull(), F.forall(F.array(*_positions(key, n_bits, k)), set_bit))
