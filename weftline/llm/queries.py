@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import components
+from weftline.llm import components, leakage
 from weftline.sources.tables import table
 
 # -- 5: consolidating pairwise matches ------------------------------------------------------------
@@ -24,6 +24,26 @@ def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
+# -- 7: evaluation texts leaking into training text -------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_items_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.items_leaked(_leaks(spark, sf_dir))
+
+
+def p7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return leakage.drop_leaking(docs, _leaks(spark, sf_dir))
+
+
 _P5 = r"""
 WITH RECURSIVE e AS (
   SELECT DISTINCT unnest([mention_a, mention_b]) a, unnest([mention_b, mention_a]) b FROM resolution_candidates
@@ -35,7 +55,11 @@ g AS (SELECT m.id, least(m.id, min(r.other)) gid FROM m LEFT JOIN r ON r.id = m.
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes}
+    return {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes} | {
+        "p7_found": p7_found,
+        "p7_items_leaked": p7_items_leaked,
+        "p7_kept_documents": p7_kept_documents,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
