@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import components, leakage
+from weftline.llm import components, leakage, names
 from weftline.sources.tables import table
 
+# -- 2: variant spellings of names -----------------------------------------------------------------
+
+
+def _name_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(table(spark, sf_dir, "entities"), table(spark, sf_dir, "given_aliases"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_pairs(_name_links(spark, sf_dir))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _name_links(spark, sf_dir).select("entity_id", "kind", "group_id").distinct()
+
+
 # -- 5: consolidating pairwise matches ------------------------------------------------------------
 
 
@@ -55,7 +70,7 @@ g AS (SELECT m.id, least(m.id, min(r.other)) gid FROM m LEFT JOIN r ON r.id = m.
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes} | {
+    return {"p2_found": p2_found, "p2_classes": p2_classes} | {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes} | {
         "p7_found": p7_found,
         "p7_items_leaked": p7_items_leaked,
         "p7_kept_documents": p7_kept_documents,
