@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import components, leakage, names
+from weftline.llm import components, leakage, names, toxicity
 from weftline.sources.tables import table
 
 # -- 2: variant spellings of names -----------------------------------------------------------------
@@ -59,6 +59,27 @@ def p7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.drop_leaking(docs, _leaks(spark, sf_dir))
 
 
+# -- 8: abusive, hateful or sexual content -----------------------------------------------------------
+
+FLAG_AT = 0.4
+
+
+def _scores(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep=keep)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).where(F.col("any") >= FLAG_AT).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+def p8_rate_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates(_scores(spark, sf_dir, "source"), "source", FLAG_AT)
+
+
 _P5 = r"""
 WITH RECURSIVE e AS (
   SELECT DISTINCT unnest([mention_a, mention_b]) a, unnest([mention_b, mention_a]) b FROM resolution_candidates
@@ -74,6 +95,9 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p7_items_leaked": p7_items_leaked,
         "p7_kept_documents": p7_kept_documents,
+        "p8_found": p8_found,
+        "p8_scores": p8_scores,
+        "p8_rate_per_source": p8_rate_per_source,
     }
 
 
