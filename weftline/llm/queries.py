@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import components, leakage, names, toxicity
+from weftline.llm import components, leakage, names, packing, toxicity
 from weftline.sources.tables import table
 
 # -- 2: variant spellings of names -----------------------------------------------------------------
@@ -39,6 +39,21 @@ def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("n_members"))
 
 
+# -- 6: filling fixed-capacity containers ------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_packed(spark, sf_dir))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
 # -- 7: evaluation texts leaking into training text -------------------------------------------------
 
 
@@ -92,6 +107,8 @@ g AS (SELECT m.id, least(m.id, min(r.other)) gid FROM m LEFT JOIN r ON r.id = m.
 
 def queries() -> dict:
     return {"p2_found": p2_found, "p2_classes": p2_classes} | {"p5_found": p5_found, "p5_group_sizes": p5_group_sizes} | {
+        "p6_containers": p6_containers,
+        "p6_fill": p6_fill,
         "p7_found": p7_found,
         "p7_items_leaked": p7_items_leaked,
         "p7_kept_documents": p7_kept_documents,
