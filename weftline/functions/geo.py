@@ -10,9 +10,9 @@ MAX_PLAUSIBLE_KMH = 900.0
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Kilometres between two points; 0 where both differ by less than 1e-9 degrees."""
+    """Kilometres between two points, null if any coordinate is; 0 where both differ by less than 1e-9 degrees."""
     a = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
-    a = F.least(F.lit(1.0), a)
+    a = F.when(a > 1, 1.0).otherwise(a)  # not least(), which passes over nulls
     d = EARTH_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
     return F.when((F.abs(lat2 - lat1) < 1e-9) & (F.abs(lon2 - lon1) < 1e-9), 0.0).otherwise(d)
 
