@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -77,7 +78,7 @@ def winkler(a: str, b: str, scale: float = 0.1, most: int = 4, least: float = 0.
     return s + k * scale * (1 - s)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -108,7 +109,7 @@ def _name(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def person_name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Token overlap or Jaro-Winkler, whichever is more; an initial with an equal family name gives 0.88."""
     return pd.Series([None if x is None or y is None else _name(x, y) for x, y in zip(a, b)], dtype="float64")
