@@ -87,6 +87,7 @@ SHAPES = [
     ("epoch", r"(?<![0-9EK+\-:/])(?P<ms>K)(?![0-9EK:/\-])"),
     ("epoch", r"(?<![0-9EK+\-:/])(?P<sec>E)(?![0-9EK:/\-])"),
     ("relative", r"(?P<n>N|[12]) d (?:l|f h)"),
+    ("clock", _L + r"(?P<h>[12]):(?P<mi>2)(?: ?(?P<ap>P))? ?[-~&] ?[12]:2"),  # a range, not an offset
     ("clock", _L + _CLOCK),
     ("clock", _L + _HHMM),
 ]
