@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import bloom
+from weftline.plans.lineage import Scratch
 
 
 def reference_key(c: Column) -> Column:
@@ -47,7 +48,8 @@ def find_orphans(
         .agg(F.min("ingested_at").alias("p_seen"), deleted.alias("p_deleted"))
     )
     n_bits = bloom.bits_for(parents.count(), max_bits=max_filter_bits)
-    words = bloom.build(parents.select(reference_key(F.col(parent_key)).alias("k")), "k", n_bits)
+    # written once: the filter is read by several expressions, and its own plan stays out of theirs
+    words = Scratch(parents.sparkSession, "bloom").cut(bloom.build(parents.select(reference_key(F.col(parent_key)).alias("k")), "k", n_bits))
 
     records = (
         children.select(
