@@ -349,7 +349,8 @@ def trained(rows: DataFrame) -> Chain:
         chain = train(b["text"].tolist(), b["label"].tolist())
         yield pd.DataFrame({"model": [pickle.dumps(chain)]})
 
-    return pickle.loads(rows.coalesce(1).mapInPandas(fit, "model binary").first().model)
+    fitted = rows.coalesce(1).mapInPandas(fit, "model binary").first()
+    return pickle.loads(fitted.model) if fitted else train([], [])
 
 
 def score_documents(
