@@ -3,7 +3,7 @@ from datetime import datetime as D
 import pytest
 
 from weftline.functions import bloom
-from weftline.operators.orphans import find_orphans, orphan_report
+from weftline.operators.orphans import Reference, find_orphans, orphan_report
 
 CHILD = "id string, ref string, created_at timestamp_ntz, ingested_at timestamp_ntz, k string, seen string, reason string, words int"
 PARENT = "id string, ingested_at timestamp_ntz, deleted_at timestamp_ntz, p_seen int, maybe boolean"
@@ -13,7 +13,7 @@ T = [D(2024, 1, d) for d in range(1, 10)]
 def run(spark, kids, parents, **kw):
     c = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in kids], CHILD)
     p = spark.createDataFrame([(*r, 1, True) for r in parents], PARENT)
-    out = find_orphans(c, p, ref_table="t", record_id="id", reference="ref", parent_key="id", **kw)
+    out = find_orphans([Reference("t", c, "id", "ref", p, "id")], **kw)
     return sorted((r.record_id, r.ref_month, r.reason) for r in out.collect())
 
 
@@ -47,7 +47,7 @@ def test_empty_tables(spark):
 def test_report(spark):
     c = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in KIDS], CHILD)
     p = spark.createDataFrame([(*r, 1, True) for r in PARENTS], PARENT)
-    o = find_orphans(c, p, ref_table="t", record_id="id", reference="ref", parent_key="id")
+    o = find_orphans([Reference("t", c, "id", "ref", p, "id")])
     got = {(r.ref_month, r.reason): r.n_orphans for r in orphan_report(o).collect()}
     assert got == {("2024-01", "deleted"): 1, ("unknown", "late"): 1, ("2024-01", "missing"): 2}
 

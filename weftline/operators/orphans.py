@@ -12,6 +12,9 @@ Empty tables give no rows (empty parents: every reference is a case). Extra colu
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,38 +28,49 @@ def reference_key(c: Column) -> Column:
     return F.when(k != "", k)
 
 
-def find_orphans(
-    children: DataFrame,
-    parents: DataFrame,
-    *,
-    ref_table: str,
-    record_id: str,
-    reference: str,
-    parent_key: str,
-    max_filter_bits: int = bloom.MAX_BITS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class Reference:
+    """Records of ``children`` (named ``ref_table``) refer by ``reference`` to ``parent_key`` of ``parents``."""
+
+    ref_table: str
+    children: DataFrame
+    record_id: str
+    reference: str
+    parents: DataFrame
+    parent_key: str
+
+
+def find_orphans(references: list[Reference], *, max_filter_bits: int = bloom.MAX_BITS) -> DataFrame:
     """(ref_table, record_id, ref_month, reason) of the child records whose reference is an orphan.
 
+    All references share one filter and one join, their keys told apart by the table's name.
     ``reason`` is ``missing``, ``deleted`` or ``late``. Hot reference keys are harmless: the
     parents have one row a key and Spark splits skewed partitions of the outer join's left side.
     """
-    deleted = F.min("deleted_at") if "deleted_at" in parents.columns else F.lit(None).cast("timestamp_ntz")
-    keys = (
-        parents.select(reference_key(F.col(parent_key)).alias("k"), *[c for c in ("ingested_at", "deleted_at") if c in parents.columns])
-        .where("k is not null")
-        .groupBy("k")
-        .agg(F.min("ingested_at").alias("p_seen"), deleted.alias("p_deleted"))
-    )
+    none = F.lit(None).cast("timestamp_ntz")
+
+    def tagged(r: Reference, key: str) -> Column:
+        return F.concat(F.lit(r.ref_table + "|"), reference_key(F.col(key)))
+
+    def parents_of(r: Reference) -> DataFrame:
+        deleted = F.col("deleted_at") if "deleted_at" in r.parents.columns else none
+        return r.parents.select(tagged(r, r.parent_key).alias("k"), F.col("ingested_at").alias("p_seen"), deleted.alias("p_deleted"))
+
+    def children_of(r: Reference) -> DataFrame:
+        return r.children.select(
+            F.lit(r.ref_table).alias("ref_table"), F.col(r.record_id).cast("string").alias("record_id"), tagged(r, r.reference).alias("k"), "ingested_at", "created_at"
+        )
+
+    parents = reduce(DataFrame.unionByName, map(parents_of, references)).where("k is not null")
+    keys = parents.groupBy("k").agg(F.min("p_seen").alias("p_seen"), F.min("p_deleted").alias("p_deleted"))
     n_bits = bloom.bits_for(parents.count(), max_bits=max_filter_bits)
     # written once: the filter is read by several expressions, and its own plan stays out of theirs
-    words = Scratch(parents.sparkSession, "bloom").cut(bloom.build(parents.select(reference_key(F.col(parent_key)).alias("k")), "k", n_bits))
+    words = Scratch(parents.sparkSession, "bloom").cut(bloom.build(parents.select("k"), "k", n_bits))
 
     records = (
-        children.select(
-            F.col(record_id).alias("record_id"), reference_key(F.col(reference)).alias("k"), "ingested_at", "created_at"
-        )
+        reduce(DataFrame.unionByName, map(children_of, references))
         .where("record_id is not null")
-        .groupBy("record_id", "k")
+        .groupBy("ref_table", "record_id", "k")
         .agg(F.min("ingested_at").alias("seen"), F.min("created_at").alias("created"))
         .where("k is not null")
     )
@@ -71,14 +85,11 @@ def find_orphans(
         .join(keys.withColumn("p_key", F.col("k")), "k", "left")
         .withColumn("reason", reason)
         .where("reason is not null")
-        .select("record_id", "created", "reason")
+        .select("ref_table", "record_id", "created", "reason")
     )
-    definite = probed.where("not maybe").select("record_id", "created", F.lit("missing").alias("reason"))
+    definite = probed.where("not maybe").select("ref_table", "record_id", "created", F.lit("missing").alias("reason"))
     return verified.unionByName(definite).select(
-        F.lit(ref_table).alias("ref_table"),
-        "record_id",
-        F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("unknown")).alias("ref_month"),
-        "reason",
+        "ref_table", "record_id", F.coalesce(F.date_format("created", "yyyy-MM"), F.lit("unknown")).alias("ref_month"), "reason"
     )
 
 

@@ -17,13 +17,9 @@ REFERENCES = (
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, rid, ref, parent, key in REFERENCES:
-        one = orphans.find_orphans(
-            table(spark, sf_dir, name), table(spark, sf_dir, parent), ref_table=name, record_id=rid, reference=ref, parent_key=key
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return orphans.find_orphans(
+        [orphans.Reference(name, table(spark, sf_dir, name), rid, ref, table(spark, sf_dir, parent), key) for name, rid, ref, parent, key in REFERENCES]
+    )
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
