@@ -100,6 +100,14 @@ def detect_travel(spark: SparkSession, sf: str) -> DataFrame:
     return _six(D.unusual_travel(_located(spark, sf))).select("source", "place", "window_key", "score", "severity")
 
 
+def detect_network_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(D.network_all_nodes(canon.entities(spark, sf), canon.relationships(spark, sf))).select("source", "score", "severity")
+
+
+def detect_velocity(spark: SparkSession, sf: str) -> DataFrame:
+    return _six(D.velocity(_located(spark, sf))).select("source", "place", "window_key", "score", "severity")
+
+
 def detect_geographic(spark: SparkSession, sf: str) -> DataFrame:
     return _six(D.geographic(_located(spark, sf))).select("source", "place", "score", "severity")
 
@@ -137,7 +145,7 @@ def alert_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [active_period, entity_sequence, sessions_36h, overlap_pairs, copresence_pairs, location_activity, location_visits, radius_search, travel_sequence,
-        implausible_travel, geo_outliers, leader_clusters, detect_network, detect_burst, detect_surge, detect_spike, detect_travel, detect_geographic,
+        implausible_travel, geo_outliers, leader_clusters, detect_network, detect_burst, detect_surge, detect_spike, detect_travel, detect_velocity, detect_network_all, detect_geographic,
         detect_consistency, detect_cross_case, alerts_dedup, alert_summary]
 
 
@@ -230,6 +238,12 @@ def oracle_sql() -> dict[str, str]:
         + """, v AS (SELECT *, (s - pe) / 3.6e9 AS hours FROM legs WHERE ps IS NOT NULL), k AS (SELECT *, km / greatest(hours, 0.01) AS kmh FROM v WHERE km > 80 AND hours >= 0)
              SELECT pid::VARCHAR AS source, loc::VARCHAR AS place, s::VARCHAR AS window_key, CASE WHEN km > 100 AND kmh > 900 THEN 0.95::DOUBLE ELSE 0.78::DOUBLE END AS score,
              CASE WHEN km > 100 AND kmh > 900 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k WHERE (km > 100 AND kmh > 900) OR (kmh > 400 AND hours < 1)""",
+        "detect_velocity": travel
+        + """, v AS (SELECT *, CASE WHEN s - ps <= 0 THEN 0.001 ELSE (s - ps) / 3.6e9 END AS hours FROM legs WHERE ps IS NOT NULL), k AS (SELECT *, km / hours AS kmh FROM v WHERE km >= 80)
+             SELECT pid::VARCHAR AS source, loc::VARCHAR AS place, s::VARCHAR AS window_key, round(least(0.96, 0.70 + least(0.25, kmh / 2000 * 0.25)), 6) AS score,
+             CASE WHEN kmh > 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k WHERE kmh > 800""",
+        "detect_network_all": with_("ent", "wide", _DEG, """net AS (SELECT id, d, least(0.95, 0.60 + 0.08::DOUBLE * d / m) AS score FROM deg, (SELECT (SELECT sum(d) FROM deg)::DOUBLE / (SELECT count(*) FROM ent) AS m) WHERE d >= 5 AND (d >= 2.5 * m OR d >= 10))""")
+        + "SELECT id AS source, round(score, 6) AS score, CASE WHEN d >= 10 OR score >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM net",
         "detect_geographic": with_("ev", "live", "place", _LOCATED, "f AS (SELECT *, first_value(lat) OVER w AS plat, first_value(lon) OVER w AS plon FROM located WINDOW w AS (PARTITION BY pid ORDER BY s, id))",
                                    f"d AS (SELECT pid, loc, max({HAVERSINE_SQL.format(a='p', b='')}) AS km FROM f GROUP BY pid, loc)")
         + "SELECT pid::VARCHAR AS source, loc::VARCHAR AS place, round(least(0.94, 0.65 + 0.2::DOUBLE * km / 500), 6) AS score, CASE WHEN km >= 300 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM d WHERE km >= 100",

@@ -74,6 +74,16 @@ def network(edges: DataFrame, least: int = 5, times: float = 2.0, always: int =
     return _signal(hot, "NETWORK", F.col("id"), score, F.when((F.col("deg") >= 10) | (score >= 0.85), "HIGH").otherwise("MEDIUM"))
 
 
+@detector("network_all_nodes")
+def network_all_nodes(nodes: DataFrame, edges: DataFrame, least: int = 5, times: float = 2.5) -> DataFrame:
+    """As ``network``, against the mean over all nodes, those without relationships included."""
+    d = nodes.select("id").join(degrees(edges), "id", "left").na.fill(0, ["deg"])
+    mean = d.agg(F.avg("deg").alias("mean"))
+    hot = d.crossJoin(F.broadcast(mean)).where((F.col("deg") >= least) & ((F.col("deg") >= times * F.col("mean")) | (F.col("deg") >= 10)))  # one row
+    score = F.least(F.lit(0.95), 0.60 + 0.08 * F.col("deg") / F.col("mean"))
+    return _signal(hot, "NETWORK", F.col("id"), score, F.when((F.col("deg") >= 10) | (score >= 0.85), "HIGH").otherwise("MEDIUM"))
+
+
 @detector("burst")
 def burst(ev: DataFrame, window_hours: int = 48, least: int = 4) -> DataFrame:
     """Many events of one participant within a window."""
@@ -128,6 +138,18 @@ def unusual_travel(located: DataFrame) -> DataFrame:
     return _signal(hit, "UNUSUAL_TRAVEL", F.col("pid"), F.when(fast, 0.95).otherwise(0.78), F.when(fast, "HIGH").otherwise("MEDIUM"), place=F.col("loc"), window=F.col("s"))
 
 
+@detector("velocity")
+def velocity(located: DataFrame, kmh: float = 800.0, km: float = 80.0) -> DataFrame:
+    """Consecutive places at least ``km`` apart reached faster than ``kmh``; no time between counts as a thousandth of an hour."""
+    w = W.partitionBy("pid").orderBy("s", "id")
+    d = haversine(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
+    hours = (F.col("s") - F.lag("s").over(w)) / 3.6e9
+    legs = located.withColumn("km", d).withColumn("hours", F.when(hours <= 0, 0.001).otherwise(hours)).where(F.col("km") >= km)
+    legs = legs.withColumn("kmh", F.col("km") / F.col("hours")).where(F.col("kmh") > kmh)
+    score = F.least(F.lit(0.96), 0.70 + F.least(F.lit(0.25), F.col("kmh") / 2000 * 0.25))
+    return _signal(legs, "VELOCITY", F.col("pid"), score, F.when(F.col("kmh") > 1000, "HIGH").otherwise("MEDIUM"), place=F.col("loc"), window=F.col("s"))
+
+
 @detector("consistency")
 def consistency(ev: DataFrame, places: DataFrame) -> DataFrame:
     """Events that end before they start, and places off the globe."""
