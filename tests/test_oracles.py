@@ -10,7 +10,7 @@ import pytest
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-MODULES = ["weftline.problems", *(f"weftline.catalogue.{m}" for m in ("relational", "temporal", "graph", "cases"))]
+MODULES = ["weftline.problems", *(f"weftline.catalogue.{m}" for m in ("relational", "temporal", "graph", "cases", "views"))]
 CASES = [(m, q) for m in MODULES for q in importlib.import_module(m).oracle_sql()]
 
 
