@@ -69,12 +69,13 @@ def find_orphans(references: list[Reference], *, max_filter_bits: int = bloom.MA
 
     records = (
         reduce(DataFrame.unionByName, map(children_of, references))
-        .where("record_id is not null")
-        .groupBy("ref_table", "record_id", "k")
-        .agg(F.min("ingested_at").alias("seen"), F.min("created_at").alias("created"))
-        .where("k is not null")
+        .where("record_id is not null and k is not null")
+        .withColumn("maybe", bloom.might_contain(words.scalar(), F.col("k"), n_bits))
+    )
+    # an aggregate, so that both halves below read one shuffle instead of scanning each for itself
+    probed = records.groupBy("ref_table", "record_id", "k").agg(
+        F.min("ingested_at").alias("seen"), F.min("created_at").alias("created"), F.bool_or("maybe").alias("maybe")
     )
-    probed = records.withColumn("maybe", bloom.might_contain(words.scalar(), F.col("k"), n_bits))
     reason = (
         F.when(F.col("p_key").isNull(), "missing")
         .when(F.col("p_deleted") <= F.col("seen"), "deleted")
