@@ -6,6 +6,8 @@ computes its input twice) and can be dropped as soon as the next round has been
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where unset."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        own = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
