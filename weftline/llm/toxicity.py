@@ -29,7 +29,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CATEGORIES = ("abuse", "hate", "sexual")
@@ -335,8 +334,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, max_flagged: int,
     votes = known.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
     serious = F.when(F.col("label") == "none", 0).otherwise(1)
     one = votes.groupBy("doc_id").agg(F.max_by("label", F.struct("n", serious, "label")).alias("label"))
-    rank = F.row_number().over(W.partitionBy(F.col("label") == "none").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = one.withColumn("r", rank).where(F.col("r") <= F.when(F.col("label") == "none", max_clean).otherwise(max_flagged))
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    few = one.where("label <> 'none'").orderBy(*by_hash).limit(max_flagged).unionByName(one.where("label = 'none'").orderBy(*by_hash).limit(max_clean))
     joined = documents.select("doc_id", "text").where("text is not null").join(few, "doc_id")
     return joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
