@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import Scratch
+
 DAY_US = 86_400_000_000
 
 
@@ -58,7 +60,8 @@ def covered_and_gaps(events: DataFrame, key: str, start: str, end: str, *, slice
         .where("k is not null and s is not null and e >= s")
         .withColumn("slice", F.floor(F.col("s") / slice_us))
     )
-    pieces = merge_sessions(timed, ["k", "slice"])
+    # written once: three steps below read the pieces, and would each scan the events again
+    pieces = Scratch(events.sparkSession, "spans").cut(merge_sessions(timed, ["k", "slice"]).drop("n_events"))
 
     in_slice = W.partitionBy("k", "slice").orderBy("s")
     before = in_slice.rowsBetween(W.unboundedPreceding, -1)
