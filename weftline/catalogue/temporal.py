@@ -27,7 +27,7 @@ def active_period(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    return T.sequence(_live(spark, sf), "pid").select("pid", "id", "step", F.round("minutes", 3).alias("minutes"), "said")
+    return T.sequence(_live(spark, sf), "pid").select("pid", "id", F.col("step").cast("bigint").alias("step"), F.round("minutes", 3).alias("minutes"), "said")
 
 
 def sessions_36h(spark: SparkSession, sf: str) -> DataFrame:

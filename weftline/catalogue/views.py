@@ -51,7 +51,7 @@ def sequence_highlights(spark: SparkSession, sf: str) -> DataFrame:
     w = W.partitionBy("pid").orderBy("s", "id")
     ev = canon.live(canon.events(spark, sf)).withColumn("step", F.row_number().over(w)).withColumn("m", F.floor((F.col("s") - F.lag("e").over(w)) / 60_000_000)).where("step <= 10")
     said = F.when(F.col("step") == 1, "T-0").when(F.abs("m") < 60, F.concat(F.col("m").cast("string"), F.lit("m"))).otherwise(F.concat(F.floor(F.col("m") / 60).cast("string"), F.lit("h")))
-    return ev.select("pid", "id", "step", said.alias("delta"))
+    return ev.select("pid", "id", F.col("step").cast("bigint").alias("step"), said.alias("delta"))
 
 
 def cross_case_network(spark: SparkSession, sf: str) -> DataFrame:
