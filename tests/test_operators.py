@@ -1,5 +1,6 @@
 """Hand-computed cases of the reference operators."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -180,6 +181,26 @@ def test_resolution(spark):
     assert resolution.candidates(e.limit(0)).count() == 0
 
 
+def test_resolution_finds_all_pairs(spark):
+    rng = random.Random(5)
+    names = ["bratovopowal n", "bratovopowl n", "Xavi Kumar", "Ravi Kumar", "50441 53662", "+91 50441-53662", "5044153662", "A/c 2347530062", "2347530062", "ab", "ac", "a", "राज कुमार", "राजु कुमार"]
+    for _ in range(150):
+        word = [rng.choice("abcd ") for _ in range(rng.randint(1, 24))]
+        names.append("".join(word))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(word))
+            word[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "x"])
+            word = word or ["c"]
+        names.append("".join(word))
+    rows = [(f"e{i:03}", ["PERSON", "ORG"][i % 4 > 1] if i > 13 else "ACCOUNT", x, None, f"c{rng.randint(0, 3)}") for i, x in enumerate(names)]
+    e = spark.createDataFrame(rows, "entity_id string, type string, name string, phone string, case_id string")
+    c = resolution.classes(e)
+    every = c.select("type", F.col("class_id").alias("a"), F.col("name").alias("na"), F.col("cases").alias("ca")).join(c.select("type", F.col("class_id").alias("b"), F.col("name").alias("nb"), F.col("cases").alias("cb")), "type")
+    every = every.where("a < b and size(array_union(ca, cb)) > 1").where(text.edit_ratio(F.col("na"), F.col("nb")) >= 0.7)
+    want = sorted((r.a, r.b) for r in every.collect())
+    assert len(want) > 40 and sorted((r.a, r.b) for r in resolution.candidates(e).collect()) == want
+
+
 def test_extraction(spark):
     t = "Witness Rahul Mehta used vehicle MH 12 AB 1234 near the dock. He called 98765 43210.\n\nCASE-2024/0031 is open; a@b.co"
     d = spark.createDataFrame([(1, t), (2, None), (3, "")], "doc_id bigint, text string")

@@ -1,7 +1,9 @@
-"""Record linkage across cases: blocked candidate pairs of value classes, factors, score and method.
+"""Record linkage across cases: candidate pairs of value classes, factors, score and method.
 
-Rows with equal type, name and phone form one class, so that copies are compared once; pairs are
-formed between classes that share a phone, an account-like name or a spelling block, never between all.
+Rows with equal type, name and phone form one class, so that copies are compared once. Classes pair
+by an equal phone or by names whose edit ratio reaches the bar; the latter come from a filter that
+proves the other pairs impossible, so no pair of one type in different cases is lost. Aliases, shared
+neighbours and conflicting districts are not fed: the score counts exact phones and names.
 """
 
 from __future__ import annotations
@@ -22,11 +24,28 @@ def classes(entities: DataFrame) -> DataFrame:
     return g
 
 
-def blocks(cls: DataFrame) -> DataFrame:
-    """Class with each of its block keys: phone, and the first three letters of each of its words of four or more."""
-    words = F.expr("transform(filter(split(name, ' '), w -> length(w) >= 4), w -> concat('w', left(w, 3), cast(length(w) div 3 as string)))")
-    keys = F.array_distinct(F.concat(words, F.when(F.col("phone").isNotNull(), F.array(F.concat(F.lit("p"), "phone"))).otherwise(F.expr("cast(array() as array<string>)"))))
-    return cls.withColumn("key", F.explode(keys))
+def near_names(names: DataFrame, least: float = 0.7, salts: int = 8) -> DataFrame:
+    """(type, na, nb), both ways and with itself: all names of a type whose edit ratio is at least ``least`` (above 0).
+
+    A name of n characters is cut into k + 1 parts, k = (1 - least) n being the faults allowed to it
+    and any shorter name. One part at least is whole in the other name, and some whole part i has at
+    most i - 1 faults before it and k + 1 - i behind it, which bounds the shift of its place.
+    """
+    n = names.select("type", "name").distinct().withColumn("n", F.length("name"))
+    faults = f"cast(floor({{0}} * {1 - least!r} + 1e-6) as int)".format
+    k = n.withColumn("k", F.expr(faults("n"))).withColumn("w", F.expr("n div (k + 1)")).withColumn("short", F.expr("k + 1 - n % (k + 1)"))
+    part = k.withColumn("i", F.explode(F.expr("sequence(1, k + 1)"))).withColumn("p", F.expr("cast((i - 1) * w + greatest(0, i - 1 - short) as int)"))
+    part = part.withColumn("text", F.expr("substring(name, p + 1, cast(w + int(i > short) as int))"))
+    part = part.select(F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "type", "text", "i", "p", "k", F.col("n").alias("nl"), F.col("name").alias("long"))
+    longest = f"cast(floor(n / {least!r} + 1e-6) as int)"
+    widths = F.expr(f"array_distinct(flatten(transform(sequence(n, {longest}), l -> array(l div ({faults('l')} + 1), l div ({faults('l')} + 1) + 1))))")
+    piece = n.withColumn("w", F.explode(widths)).where("w <= n").withColumn("q", F.explode(F.expr("sequence(0, cast(n - w as int))")))
+    piece = piece.select(F.pmod(F.hash("name"), F.lit(salts)).alias("salt"), "type", F.expr("substring(name, q + 1, cast(w as int))").alias("text"), "q", F.col("n").alias("ns"), F.col("name").alias("brief"))
+    hit = piece.join(part.hint("shuffle_hash"), ["salt", "type", "text"]).where(
+        "nl >= ns and nl - ns <= k and abs(q - p) < i and abs((ns - q) - (nl - p)) <= k + 1 - i and brief <> long and levenshtein(brief, long) <= k"
+    )
+    near = hit.select("type", F.least("brief", "long").alias("na"), F.greatest("brief", "long").alias("nb")).distinct()
+    return near.unionByName(near.select("type", F.col("nb").alias("na"), F.col("na").alias("nb"))).unionByName(n.select("type", F.col("name").alias("na"), F.col("name").alias("nb")))
 
 
 def score_of(exact: Column, positives: Column, alias: Column, name: Column, person: Column, context: Column, conflict: Column) -> Column:
@@ -43,10 +62,12 @@ def score_of(exact: Column, positives: Column, alias: Column, name: Column, pers
 
 def candidates(entities: DataFrame, least: float = 0.5, least_name: float = 0.7) -> DataFrame:
     """(a, b, name_score, score, method): classes of equal type in different cases that may mean one entity."""
-    b = blocks(classes(entities))
-    left = b.select("type", "key", F.col("class_id").alias("a"), F.col("name").alias("na"), F.col("phone").alias("pa"), F.col("cases").alias("ca"))
-    right = b.select("type", "key", F.col("class_id").alias("b"), F.col("name").alias("nb"), F.col("phone").alias("pb"), F.col("cases").alias("cb"))
-    pairs = left.join(right, ["type", "key"]).where("a < b").drop("key").distinct()
+    c = classes(entities)
+    left = c.select("type", F.col("class_id").alias("a"), F.col("name").alias("na"), F.col("phone").alias("pa"), F.col("cases").alias("ca"))
+    right = c.select("type", F.col("class_id").alias("b"), F.col("name").alias("nb"), F.col("phone").alias("pb"), F.col("cases").alias("cb"))
+    by_name = near_names(c, least_name).join(left, ["type", "na"]).join(right, ["type", "nb"]).where("a < b")
+    by_phone = left.withColumn("key", F.col("pa")).join(right.withColumn("key", F.col("pb")), ["type", "key"]).where("a < b")
+    pairs = by_name.unionByName(by_phone.drop("key")).distinct()
     pairs = pairs.where("size(array_union(ca, cb)) > 1")
     name = edit_ratio(F.col("na"), F.col("nb"))
     exact = F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))
