@@ -6,8 +6,11 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.catalogue import graph as catalogue
+from weftline.catalogue import relational as relational_queries
 from weftline.functions import geo, text
 from weftline.operators import ask, detect, extract, graph, ledger, relational, report, resolution, spatial, temporal
+from weftline.sources import canon
 
 H = 3_600_000_000
 
@@ -169,6 +172,29 @@ def test_text(spark):
     assert n[0] >= 0.88 and n[1] == 1.0 and n[2] is None
 
 
+def test_relationships_of_all_lines(spark, tmp_path):
+    rng = random.Random(2)
+    orders = [(k, rng.randint(1, 30), rng.choice(["1-URGENT", "5-LOW"])) for k in range(60)]
+    lines = [(rng.randrange(60), rng.randint(1, 8), rng.choice("RNA"), float(rng.randint(1, 50)), 0.05) for _ in range(150)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"n{k}", 0) for k in range(1, 31)], "c_custkey bigint, c_name string, c_nationkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "N", 0)], "n_nationkey bigint, n_name string, n_regionkey bigint").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "R")], "r_regionkey bigint, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    want = {(f"C{orders[o][1]}", f"S{s}") for o, s, *_ in lines}
+    assert sorted(tuple(r) for r in canon.relationships(spark, str(tmp_path)).collect()) == sorted(want)
+    least = {x: x for p in want for x in p}
+    for _ in want:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    q = catalogue.queries()
+    assert {r.id: r.component for r in q["components"](spark, str(tmp_path)).collect()} == least
+    near = {x: {b if a == x else a for a, b in want if x in (a, b)} for x in least}
+    pairs = {(x, y): len(near[x] & near[y]) for x in near for y in near if x < y and y not in near[x] and near[x] & near[y]}
+    assert {(r.a, r.b): r.shared for r in q["two_hop_candidates"](spark, str(tmp_path)).collect()} == pairs
+    assert relational_queries.fk_enrich(spark, str(tmp_path)).first().n_orders == 60
+
+
 def test_resolution(spark):
     rows = [("e1", "PERSON", "Ravi Kumar", "98765 43210", "c1"), ("e2", "PERSON", "Ravi Kumar", None, "c2"), ("e3", "PERSON", "R Kumar", "+91 98765 43210", "c3"), ("e4", "VEHICLE", "Ravi Kumar", None, "c4"), ("e5", "ORG", "Long Harbour Trading", None, "c1"), ("e6", "ORG", "Long Harbour Tradng", None, "c2"), ("e7", None, None, None, None)]
     e = spark.createDataFrame(rows, "entity_id string, type string, name string, phone string, case_id string")

@@ -10,91 +10,91 @@ from weftline.sources import canon
 from weftline.sources.canon import with_
 
 
-def _wide(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return canon.entities(spark, sf), canon.relationships(spark, sf)
 
 
-def _narrow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The narrow relationships and their ends."""
-    e = canon.relationships(spark, sf, narrow=True)
+def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The relationships and their ends."""
+    e = canon.relationships(spark, sf)
     ends = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     return ends.withColumn("type", F.when(F.startswith("id", F.lit("C")), "PERSON").otherwise("ORGANIZATION")), e
 
 
 def case_subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = G.subgraph(*_wide(spark, sf))
+    v, e = G.subgraph(*_whole(spark, sf))
     return e.groupBy("dst").agg(F.count("*").alias("n_links"), F.min("src").alias("first_src"))
 
 
 def degree_centrality(spark: SparkSession, sf: str) -> DataFrame:
-    return G.degree(*_wide(spark, sf))
+    return G.degree(*_whole(spark, sf))
 
 
 def degree_rank_top20(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
-    d = G.degree(*_wide(spark, sf)).where("degree > 0").withColumn("most", F.max("degree").over(W.partitionBy()))
+    d = G.degree(*_whole(spark, sf)).where("degree > 0").withColumn("most", F.max("degree").over(W.partitionBy()))
     return d.orderBy(F.desc("degree"), "id").limit(20).select("id", "degree", F.round(F.col("degree") / F.col("most"), 6).alias("score"))
 
 
 def neighborhood_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _wide(spark, sf)
+    v, e = _whole(spark, sf)
     n = G.neighbourhood(e, v.where("type = 'ORGANIZATION' and risk = 'CRITICAL'").select("id"), 2)
     return n.groupBy("root", "hops").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(*_narrow(spark, sf))
+    return G.components(*_linked(spark, sf))
 
 
 def component_profile(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _narrow(spark, sf)
+    v, e = _linked(spark, sf)
     return G.component_profile(v, e, G.components(v, e))
 
 
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _narrow(spark, sf)
+    v, e = _linked(spark, sf)
     c = G.communities(e, G.components(v, e))
     return c.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def closeness(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _narrow(spark, sf)
+    v, e = _linked(spark, sf)
     return G.closeness(G.distances(v, e), v.count())
 
 
 def betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _narrow(spark, sf)
+    v, e = _linked(spark, sf)
     return G.betweenness(G.distances(v, e), v.count())
 
 
 def pagerank_10(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _narrow(spark, sf)
+    v, e = _linked(spark, sf)
     return G.pagerank(v, e, rounds=10, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
 
 
 def shortest_path_hops(spark: SparkSession, sf: str) -> DataFrame:
-    v, e = _wide(spark, sf)
+    v, e = _whole(spark, sf)
     start = v.where("type = 'ORGANIZATION'").agg(F.min("id").alias("start"))
     goals = v.where("type = 'ORGANIZATION'").select(F.col("id").alias("goal"))
     return G.shortest_hops(e, goals.crossJoin(F.broadcast(start)), 4)  # one row
 
 
 def network_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return G.statistics(*_narrow(spark, sf))
+    return G.statistics(*_linked(spark, sf))
 
 
 def two_hop_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return G.fallback_leads(_narrow(spark, sf)[1]).select("a", "b", "shared", F.round("score", 6).alias("score"))
+    return G.fallback_leads(_linked(spark, sf)[1]).select("a", "b", "shared", F.round("score", 6).alias("score"))
 
 
 def node_features(spark: SparkSession, sf: str) -> DataFrame:
-    f = G.node_features(*_narrow(spark, sf))
+    f = G.node_features(*_linked(spark, sf))
     return f.select("id", F.posexplode("f").alias("pos", "x")).where("x <> 0").select("id", "pos", F.round("x", 9).alias("x"))
 
 
 def link_scores(spark: SparkSession, sf: str) -> DataFrame:
-    s = G.link_scores(*_narrow(spark, sf))
+    s = G.link_scores(*_linked(spark, sf))
     return s.select("a", "b", "shared", F.round("score", 6).alias("score"))
 
 

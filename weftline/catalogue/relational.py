@@ -48,7 +48,6 @@ def fk_enrich(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = (F.broadcast(table(spark, sf, t)) for t in ("nation", "region"))  # fixed sizes
     return (
         table(spark, sf, "orders")
-        .where("o_orderpriority = '1-URGENT'")
         .join(cust, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -90,7 +89,7 @@ def priority_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def set_union_existing_wins(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = canon.relationships(spark, sf, narrow=True), canon.relationships(spark, sf)
+    a, b = canon.relationships(spark, sf, rare=True), canon.relationships(spark, sf)
     new = R.without_known_pairs(b.select(F.col("dst").alias("src"), F.col("src").alias("dst")), a, "src", "dst")
     return a.withColumn("origin", F.lit("stored")).unionByName(new.withColumn("origin", F.lit("added")))
 
@@ -103,7 +102,7 @@ def upsert_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 def upsert_edges(spark: SparkSession, sf: str) -> DataFrame:
     known = canon.entities(spark, sf).where("status = 'VERIFIED'").select("id")
-    old = canon.relationships(spark, sf, narrow=True).select("src", F.lit("PAID").alias("type"), "dst", F.lit("old").alias("origin"))
+    old = canon.relationships(spark, sf, rare=True).select("src", F.lit("PAID").alias("type"), "dst", F.lit("old").alias("origin"))
     new = canon.relationships(spark, sf).select("src", F.lit("PAID").alias("type"), "dst", F.lit("new").alias("origin"))
     return R.upsert_edges(old, new, known).groupBy("origin").agg(F.count("*").alias("n"))
 

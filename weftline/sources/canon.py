@@ -1,8 +1,8 @@
 """Projection of the star-schema test tables onto the canonical model, and the same as SQL.
 
 case = region number of a place; place = nation; entity = customer (PERSON) or supplier
-(ORGANIZATION); relationship = customer-supplier pairs of rare order lines (``wide``, or
-``narrow`` for algorithms over all pairs of a component); event = row of ``events``.
+(ORGANIZATION); relationship = customer-supplier pairs of all order lines; event = row of
+``events``. The SQL below still has the relationships of rare lines only (``wide``, ``narrow``).
 """
 
 from __future__ import annotations
@@ -66,9 +66,11 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return side("customer", "c", "C", "PERSON").unionByName(side("supplier", "s", "S", "ORGANIZATION"))
 
 
-def relationships(spark: SparkSession, sf: str, narrow: bool = False) -> DataFrame:
-    lines = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
-    lines = lines.where("l_quantity >= 50 and l_discount >= 0.05") if narrow else lines.where("l_quantity >= 49")
+def relationships(spark: SparkSession, sf: str, rare: bool = False) -> DataFrame:
+    """Distinct customer-supplier pairs of all lines; ``rare``: of a few lines, as the older set where two sets are merged."""
+    lines = table(spark, sf, "lineitem")
+    if rare:
+        lines = lines.where("l_returnflag = 'R' and l_quantity >= 50 and l_discount >= 0.05")
     return (
         lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"))
