@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.catalogue import cases
 from weftline.catalogue import graph as catalogue
 from weftline.catalogue import relational as relational_queries
 from weftline.functions import geo, text
@@ -195,6 +196,13 @@ def test_relationships_of_all_lines(spark, tmp_path):
     assert relational_queries.fk_enrich(spark, str(tmp_path)).first().n_orders == 60
 
 
+def test_intent_of_the_whole_text(spark, tmp_path):
+    rows = [(1, "Note\nshortest path to the port", "s", None, "c"), (2, "Note\nplain", "s", None, "c"), (3, None, "s", None, "c")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, created_at timestamp, investigation_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.intent: r.n for r in cases.intent_router(spark, str(tmp_path)).collect()}
+    assert got == {"SHORTEST_PATH": 1, "GENERAL_CASE_SUMMARY": 1}
+
+
 def test_resolution(spark):
     rows = [("e1", "PERSON", "Ravi Kumar", "98765 43210", "c1"), ("e2", "PERSON", "Ravi Kumar", None, "c2"), ("e3", "PERSON", "R Kumar", "+91 98765 43210", "c3"), ("e4", "VEHICLE", "Ravi Kumar", None, "c4"), ("e5", "ORG", "Long Harbour Trading", None, "c1"), ("e6", "ORG", "Long Harbour Tradng", None, "c2"), ("e7", None, None, None, None)]
     e = spark.createDataFrame(rows, "entity_id string, type string, name string, phone string, case_id string")

@@ -103,7 +103,7 @@ def integrity_status(spark: SparkSession, sf: str) -> DataFrame:
 
 def intent_router(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).where("text is not null")
-    return d.select(A.intent(F.substring_index("text", "\n", 1)).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
+    return d.select(A.intent(F.col("text")).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
 
 
 def mention_extraction(spark: SparkSession, sf: str) -> DataFrame:
