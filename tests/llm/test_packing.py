@@ -32,6 +32,15 @@ def test_plan_holds_everything(capacity):
             assert used.max() <= capacity and used.min() > 0
 
 
+def test_plentiful_lengths_share_containers():
+    for n in (1_000, 1_000_000):
+        h = np.zeros(513, dtype=np.int64)
+        h[[300, 100]] = n
+        groups = P.plan(h, 512)
+        assert sum(t * p.get(300, 0) for t, p in groups) == sum(t * p.get(100, 0) for t, p in groups) == n
+        assert sum(t for t, _ in groups) <= 1.001 * n
+
+
 def test_empty_and_full_histograms():
     assert P.plan(np.zeros(9, dtype=np.int64), 8) == []
     h = np.zeros(9, dtype=np.int64)

@@ -6,8 +6,10 @@
    corpus. Patterns of few distinct lengths that fill a container exactly are enumerated
    (pairs, triples, and repeats of a short length with one or two others), their repeat counts
    are fitted to the histogram by non-negative least squares and rounded down to what is there.
-   What is left is bounded by the capacity, not by the corpus (each length at most once per
-   pattern and less than one container's worth), and is packed best-fit decreasing.
+   What is left is packed best-fit decreasing; if that is many items, the containers of best fit
+   over a scaled-down histogram are repeated, and the bounded rest of that is packed in turn.
+   Triples are enumerated until there are 60,000 patterns, so on dense histograms of large
+   capacities only those with a long item; this bounds the search, and every item is still placed.
 3. Items are ranked within their length (in salted buckets, so that a length with a third of all
    items is no hot spot) and look their container up in the plan, which is broadcast.
 
@@ -19,6 +21,7 @@ from 0 for each capacity.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -166,14 +169,22 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]
             out.append((times, dict(pats[k])))
             for ln, c in pats[k]:
                 left[ln] -= times * c
-    # lengths still plentiful after rounding: containers of copies of one, so that the rest is bounded
-    for ln in np.flatnonzero(left > 4 * capacity)[::-1].tolist():
-        copies = capacity // ln
-        times = int(left[ln]) // copies - 4
-        if times > 0:
-            out.append((times, {ln: copies}))
-            left[ln] -= times * copies
-    return out + [(1, b) for b in best_fit(left, capacity)]
+    return out + repeated_fit(left, capacity)
+
+
+def repeated_fit(left: np.ndarray, capacity: int, at_once: int = 200_000) -> list[tuple[int, dict[int, int]]]:
+    """Best fit of any number of items: mixes of a histogram scaled down to ``at_once`` items, repeated, until the rest is that small."""
+    left, out, at_once = left.astype(np.int64), [], max(8 * capacity, at_once)
+    while left.any():
+        times = -(-int(left.sum()) // at_once)
+        bins = best_fit(left // times, capacity)
+        if times > 1 and len(bins) > 1:  # the emptiest isn't repeated, its items stay for the next round
+            bins.remove(min(bins, key=lambda b: sum(ln * c for ln, c in b.items())))
+        for mix, n in Counter(tuple(b.items()) for b in bins).items():
+            out.append((n * times, dict(mix)))
+            for ln, c in mix:
+                left[ln] -= n * times * c
+    return out
 
 
 class Slots:
