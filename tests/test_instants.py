@@ -107,3 +107,11 @@ def test_operator(spark):
     got = {r.id: r.utc_us for r in normalise(df, key="id", text="t", zone="z", reference="r").collect()}
     assert got == {i: c[3] for i, c in enumerate(CASES)} | {2000: us(2024, 1, 2)}
     assert normalise(df.limit(0), key="id", text="t", zone="z", reference="r").count() == 0
+
+
+def test_years_outside_the_table():
+    for zone, *at in (("America/New_York", 2150, 7, 1, 12), ("America/New_York", 2150, 1, 1, 12), ("America/New_York", 1950, 7, 1, 12), ("Asia/Kolkata", 1943, 1, 1), ("Europe/Berlin", 2100, 8, 9)):
+        got, once = TABLE.to_utc(zone, np.array([us(*at), us(2025, 7, 1)]))
+        assert got.tolist() == [us(*at, zone=zone), us(2025, 7, 1, zone=zone)] and once.all()
+    for skipped_or_twice in ((2150, 3, 8, 2, 30), (2150, 11, 1, 1, 30), (1950, 4, 30, 2, 30)):
+        assert not TABLE.to_utc("America/New_York", np.array([us(*skipped_or_twice)]))[1].any()

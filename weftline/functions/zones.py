@@ -2,6 +2,7 @@
 
 A table holds, for each zone, the UTC seconds at which its offset changes and the offsets
 between them, read once from the installed public time-zone database, whose version it names.
+Local times outside the years of the table are converted one by one by the database itself.
 """
 
 from __future__ import annotations
@@ -59,11 +60,12 @@ class ZoneTable:
 
     version: str
     zones: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    years: tuple[int, int] = (1970, 2099)
 
     @classmethod
     def build(cls, names: list[str], first_year: int = 1970, last_year: int = 2099) -> ZoneTable:
         known = available_timezones()
-        return cls(database_version(), {n: transitions(n, first_year, last_year) for n in names if n in known})
+        return cls(database_version(), {n: transitions(n, first_year, last_year) for n in names if n in known}, (first_year, last_year))
 
     def to_utc(self, name: str, local_us: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(UTC microseconds, whether exactly one instant has this local time)."""
@@ -81,4 +83,19 @@ class ZoneTable:
             ok &= (lo[j] <= u) & (u < hi[j])
             out = np.where(ok, u, out)
             hits += ok
-        return out, hits == 1
+        once = hits == 1
+        first, end = (int((dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc) - _EPOCH).total_seconds()) for y in (self.years[0], self.years[1] + 1))
+        margin = 2 * 86400  # of a local time against UTC
+        for i in np.flatnonzero((local_us < (first + margin) * 1_000_000) | (local_us >= (end - margin) * 1_000_000)):
+            out[i], once[i] = _converted(name, int(local_us[i]))
+        return out, once
+
+
+def _converted(name: str, local_us: int) -> tuple[int, bool]:
+    """As ``ZoneTable.to_utc``, of one local time in any year that a date can have."""
+    try:
+        at = (_EPOCH + dt.timedelta(microseconds=local_us)).replace(tzinfo=ZoneInfo(name))
+    except OverflowError:
+        return 0, False
+    early, late = (at.replace(fold=f).utcoffset() // dt.timedelta(microseconds=1) for f in (0, 1))
+    return local_us - early, early == late  # they differ where the zone skipped or repeats a time
