@@ -89,3 +89,12 @@ def test_without_labels_or_documents(spark):
     assert T.score_documents(d.limit(0), lab).count() == 0
     one = spark.createDataFrame([(1, "abuse")], "doc_id bigint, label string")
     assert [r.any for r in T.score_documents(d, one).collect()] == [0.0]
+
+
+def test_copies_behind_a_common_ngram():
+    rng, common, n = np.random.default_rng(3), np.uint64(12345), 400
+    own = rng.integers(1, 2**63, n - 1).astype(np.uint64)
+    own = np.append(own, own[-1])  # the last is a copy of the one before it
+    doc = np.concatenate([np.arange(n), np.arange(n)])
+    keep = T._not_copies(doc, np.concatenate([own, np.full(n, common)]), n)
+    assert keep[n - 2] and not keep[n - 1]

@@ -230,7 +230,7 @@ def _not_copies(doc: np.ndarray, keys: np.ndarray, n: int, hashes: int = 24, sam
         if sig[0, d] == np.iinfo(np.uint64).max:
             continue
         for k in range(hashes):
-            for e in seen[k].get(int(sig[k, d]), ())[:50]:
+            for e in seen[k].get(int(sig[k, d]), ()):
                 votes[e] = votes.get(e, 0) + 1
         if votes and max(votes.values()) >= same:
             keep[d] = False
