@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from weftline.llm import toxicity as T
 
@@ -98,3 +99,28 @@ def test_copies_behind_a_common_ngram():
     doc = np.concatenate([np.arange(n), np.arange(n)])
     keep = T._not_copies(doc, np.concatenate([own, np.full(n, common)]), n)
     assert keep[n - 2] and not keep[n - 1]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_held_out_over_several_seeds(seed):
+    """Filler that occurs in either kind of document, hard negatives, copies and 5 to 10 % wrong labels."""
+    RNG.seed(1200 + seed)
+    train, test = sample(900, 0.05 + 0.05 * (seed % 2)), sample(800)
+    chain = T.train([r[1] for r in train], [r[3] for r in train])
+    said, real = chain.score([r[1] for r in test])[:, -1] >= chain.threshold, np.array([r[2] != "none" for r in test])
+    assert (said & real).sum() >= 0.95 * real.sum()
+    assert (said & real).sum() >= 0.95 * said.sum()
+
+
+def test_a_phrase_of_few_flagged_documents_is_no_evidence():
+    RNG.seed(77)
+    rows = sample(900, 0.05)
+    flagged = [i for i, r in enumerate(rows) if r[3] != "none"][:5]
+    clean = [i for i, r in enumerate(rows) if r[3] == "none"][:24]
+    texts = [r[1] + ". he was told to trust nobody" if i in flagged or i in clean else r[1] for i, r in enumerate(rows)]
+    chain = T.train(texts, [r[3] for r in rows])
+    assert chain.score(["he was told to trust nobody"])[0, -1] < chain.threshold
+
+
+def test_disguise_of_long_words():
+    assert T.plain("b@ckst4bbingscum") == "backstabbingscum"

@@ -76,15 +76,13 @@ def p7_kept_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- 8: abusive, hateful or sexual content -----------------------------------------------------------
 
-FLAG_AT = 0.4
-
 
 def _scores(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), keep=keep)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).where(F.col("any") >= FLAG_AT).select("doc_id").distinct()
+    return _scores(spark, sf_dir).where("flagged").select("doc_id").distinct()
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +90,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_rate_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.rates(_scores(spark, sf_dir, "source"), "source", FLAG_AT)
+    return toxicity.rates(_scores(spark, sf_dir, "source"), "source")
 
 
 _P5 = r"""
