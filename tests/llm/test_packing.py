@@ -93,3 +93,50 @@ def test_no_documents_or_sizes(spark):
     assert P.pack(docs, sizes).count() == 0
     assert P.pack(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), sizes.limit(0)).count() == 0
     assert P.pack(spark.createDataFrame([(1, ""), (2, "")], "doc_id bigint, text string"), sizes).count() == 2
+
+
+@pytest.mark.parametrize("capacity", [512, 2048])
+@pytest.mark.parametrize("items", [10_000, 10**9])
+def test_plan_of_log_normal_lengths(capacity, items):
+    """Within 0.1 % of the least, and groups bounded by the capacity, up to 10^9 texts."""
+    drawn = np.random.default_rng(items % 97).lognormal(5.5, 1.2, min(items, 1_000_000)).astype(int) + 1
+    h = np.bincount(drawn % capacity, minlength=capacity + 1).astype(np.int64) * max(1, items // len(drawn))
+    h[capacity] += int((drawn // capacity).sum()) * max(1, items // len(drawn))
+    h[0] = 0
+    groups = P.plan(h, capacity)
+    back = np.zeros_like(h)
+    for times, parts in groups:
+        for ln, c in parts.items():
+            back[ln] += times * c
+    assert (back == h).all()
+    least = -(-int((h * np.arange(capacity + 1)).sum()) // capacity)
+    assert sum(t for t, _ in groups) <= 1.001 * least + 1
+    assert len(groups) <= 20 * capacity
+
+
+def test_best_fit_by_counts_is_best_fit_decreasing():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        capacity = int(rng.integers(5, 60))
+        h = np.zeros(capacity + 1, dtype=np.int64)
+        h[1:] = rng.integers(0, 4, capacity)
+        free: list[int] = []
+        for ln in np.flatnonzero(h)[::-1]:
+            for _ in range(h[ln]):
+                fits = [k for k, room in enumerate(free) if room >= ln]
+                k = min(fits, key=lambda k: free[k]) if fits else len(free)
+                if not fits:
+                    free.append(capacity)
+                free[k] -= ln
+        groups = P.best_fit(h, capacity)
+        assert sum(t for t, _ in groups) == len(free)
+        assert sorted(free) == sorted(capacity - sum(ln * c for ln, c in m.items()) for t, m in groups for _ in range(t))
+        assert len(groups) <= 3 * capacity
+
+
+def test_capacities_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "AT_ONCE", 2)
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(20)], "doc_id bigint, text string")
+    sizes = spark.createDataFrame([(k, 30 + k) for k in range(5)], "size_id int, capacity_tokens int")
+    items = P.pack(docs, sizes)
+    assert items.groupBy("size_id").count().count() == 5 and items.select("size_id", "doc_id", "part").distinct().count() == items.count()

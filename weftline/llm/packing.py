@@ -3,13 +3,11 @@
 1. Texts are measured in tokens of a public tokenizer; a text above the capacity becomes full
    pieces and a rest, all others stay whole.
 2. Only the histogram of lengths goes to the driver: at most ``capacity`` numbers whatever the
-   corpus. Patterns of few distinct lengths that fill a container exactly are enumerated
-   (pairs, triples, and repeats of a short length with one or two others), their repeat counts
-   are fitted to the histogram by non-negative least squares and rounded down to what is there.
-   What is left is packed best-fit decreasing; if that is many items, the containers of best fit
-   over a scaled-down histogram are repeated, and the bounded rest of that is packed in turn.
-   Triples are enumerated until there are 60,000 patterns, so on dense histograms of large
-   capacities only those with a long item; this bounds the search, and every item is still placed.
+   corpus. Patterns of few distinct lengths that fill a container exactly are enumerated evenly over
+   all lengths (pairs, triples, and repeats of a short length with one or two others), their repeat
+   counts are fitted to the histogram by non-negative least squares and rounded by largest remainders.
+   What is left is packed best-fit decreasing by counts of equal containers, not item by item. The plan
+   has at most 20 x ``capacity`` groups of equal containers, whatever the corpus, and is broadcast.
 3. Items are ranked within their length (in salted buckets, so that a length with a third of all
    items is no hot spot) and look their container up in the plan, which is broadcast.
 
@@ -21,9 +19,9 @@ from 0 for each capacity.
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,6 +32,8 @@ from pyspark.sql import functions as F
 from weftline.plans.lineage import Scratch
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Capacities planned and broadcast at once.
+AT_ONCE = 64
 #: Splitting pattern of byte-level BPE vocabularies (fixed value).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,8 +64,13 @@ def measure(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 # -- the plan, from a histogram -----------------------------------------------------------------
 
 
-def patterns(lengths: np.ndarray, capacity: int, most: int = 60_000) -> list[tuple[tuple[int, int], ...]]:
-    """Patterns ((length, copies), ...) of at most three distinct lengths that fill the capacity exactly."""
+def patterns(lengths: np.ndarray, capacity: int, each: int = 8) -> list[tuple[tuple[int, int], ...]]:
+    """Patterns ((length, copies), ...) of at most three distinct lengths that fill the capacity exactly.
+
+    Every length, long or short, gets its pair, up to ``each`` triples whose second lengths are spread
+    evenly over all that fit, and up to ``each`` repeats filled up by one or two others: at most
+    (2 * each + 1) * capacity patterns, whatever the histogram.
+    """
     have = np.zeros(capacity + 1, dtype=bool)
     have[lengths] = True
     out: set[tuple[tuple[int, int], ...]] = set()
@@ -73,39 +78,41 @@ def patterns(lengths: np.ndarray, capacity: int, most: int = 60_000) -> list[tup
     def add(*parts: int) -> None:
         n: dict[int, int] = {}
         for p in parts:
-            n[p] = n.get(p, 0) + 1
+            n[int(p)] = n.get(int(p), 0) + 1
         out.add(tuple(sorted(n.items())))
 
+    def spread(x: np.ndarray, k: int) -> np.ndarray:
+        return x if len(x) <= k else x[np.linspace(0, len(x) - 1, k).astype(int)]
+
     for a in lengths:
-        if have[capacity - a]:
-            add(int(a), int(capacity - a))
-    long = lengths[::-1]
-    for a in long:  # longest first: they are the hardest to place
-        rest = capacity - a - lengths
-        ok = (rest > 0) & (rest <= lengths) & (lengths <= a)
-        b = lengths[ok][have[rest[ok]]]
-        for x in b:
-            add(int(a), int(x), int(capacity - a - x))
-        if len(out) > most:
-            break
+        rest = capacity - a
+        if have[rest]:
+            add(a, rest)
+        b = lengths[: np.searchsorted(lengths, rest // 2, side="right")]
+        for x in spread(b[have[rest - b]], each):
+            add(a, x, rest - x)
     for a in lengths[lengths <= capacity // 3]:
-        for copies in {capacity // a, capacity // a - 1, capacity // (2 * a), max(2, capacity // (4 * a))}:
+        whole = capacity // a
+        for copies in sorted({whole, whole - 1, whole // 2, max(2, whole // 4)}):
             rest = int(capacity - copies * a)
-            if copies < 2:
+            if copies < 2 or copies > whole:
                 continue
             if rest == 0:
                 out.add(((int(a), int(copies)),))
             elif have[rest]:
-                add(*[int(a)] * int(copies), rest)
+                add(*[a] * copies, rest)
             else:
-                b = lengths[(lengths < rest) & have[np.maximum(rest - lengths, 0)]]
-                for x in (b[-1:].tolist() + b[len(b) // 2 : len(b) // 2 + 1].tolist()):
-                    add(*[int(a)] * int(copies), int(x), int(rest - x))
+                b = lengths[: np.searchsorted(lengths, rest // 2, side="right")]
+                for x in spread(b[have[rest - b]], max(1, each // 4)):
+                    add(*[a] * copies, x, rest - x)
     return sorted(out)
 
 
-def fit(pats: list, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 minimising the squared difference of the patterns' lengths and the histogram (accelerated projected gradient)."""
+def fit(pats: list, histogram: np.ndarray, rounds: int = 4000, close: float = 1e-4) -> np.ndarray:
+    """x >= 0 minimising the squared difference of the patterns' lengths and the histogram.
+
+    Accelerated projected gradient with restarts; ends when all but a share ``close`` of the items is met.
+    """
     if not pats:
         return np.zeros(0)
     row = np.array([ln for p in pats for ln, _ in p])
@@ -121,34 +128,54 @@ def fit(pats: list, histogram: np.ndarray, rounds: int = 300) -> np.ndarray:
         v /= top
     x = z = np.zeros(m)
     t = 1.0
-    for _ in range(rounds):
-        grad = np.bincount(col, val * (np.bincount(row, val * z[col], n) - histogram)[row], m)
+    enough = close * max(1.0, histogram.sum())
+    for k in range(rounds):
+        off = np.bincount(row, val * z[col], n) - histogram
+        if k % 50 == 49 and np.abs(off).sum() <= enough:
+            break
+        grad = np.bincount(col, val * off[row], m)
         new = np.maximum(0, z - grad / top)
+        if grad @ (new - x) > 0:
+            t = 1.0
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
     return x / scale
 
 
-def best_fit(counts: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Best-fit decreasing over a histogram; containers as {length: copies}."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]  # open containers by free space
-    room_used = np.zeros(capacity + 1, dtype=bool)
-    bins: list[dict[int, int]] = []
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing over a histogram, by counts rather than items: [(containers, {length: copies})].
+
+    Containers with the same content are one group. A length enters the fullest group it fits, as many
+    copies to a container as fit; only where it runs out is a group split, so there are at most three
+    groups for each length that occurs, whatever the counts.
+    """
+    rooms: list[list[tuple[int, dict[int, int]]]] = [[] for _ in range(capacity + 1)]
+    used = np.zeros(capacity + 1, dtype=bool)
     for ln in np.flatnonzero(counts)[::-1].tolist():
-        for _ in range(int(counts[ln])):
-            at = ln + int(np.argmax(room_used[ln:])) if room_used[ln:].any() else -1
-            if at < 0:
-                k, at = len(bins), capacity
-                bins.append({})
+        n = int(counts[ln])
+        while n:
+            at = ln + int(np.argmax(used[ln:]))
+            if used[at]:
+                times, mix = rooms[at].pop()
+                used[at] = bool(rooms[at])
             else:
-                k = by_room[at].pop()
-                room_used[at] = bool(by_room[at])
-            bins[k][ln] = bins[k].get(ln, 0) + 1
-            if at > ln:
-                by_room[at - ln].append(k)
-                room_used[at - ln] = True
-    return bins
+                at, times, mix = capacity, n, {}
+            copies = at // ln
+            full = min(times, n // copies)
+            parts = [(full, copies)]
+            n -= full * copies
+            if full < times and n:  # fewer than a container takes
+                parts.append((1, n))
+                full, n = full + 1, 0
+            for k, c in parts:
+                if k:
+                    rooms[at - c * ln].append((k, {**mix, ln: c}))
+                    used[at - c * ln] = True
+            if full < times and mix:
+                rooms[at].append((times - full, mix))
+                used[at] = True
+    return [group for groups in rooms for group in groups]
 
 
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -160,31 +187,20 @@ def plan(histogram: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]
         left[capacity] = 0
     pats = patterns(np.flatnonzero(left), capacity)
     x = fit(pats, left.astype(float))
-    # whole repeats, the largest first, as far as the items go
-    for k in np.argsort(-x, kind="stable"):
-        times = min([int(x[k])] + [int(left[ln]) // c for ln, c in pats[k]])
-        if x[k] < 1:
-            break
-        if times > 0:
-            out.append((times, dict(pats[k])))
-            for ln, c in pats[k]:
-                left[ln] -= times * c
-    return out + repeated_fit(left, capacity)
-
-
-def repeated_fit(left: np.ndarray, capacity: int, at_once: int = 200_000) -> list[tuple[int, dict[int, int]]]:
-    """Best fit of any number of items: mixes of a histogram scaled down to ``at_once`` items, repeated, until the rest is that small."""
-    left, out, at_once = left.astype(np.int64), [], max(8 * capacity, at_once)
-    while left.any():
-        times = -(-int(left.sum()) // at_once)
-        bins = best_fit(left // times, capacity)
-        if times > 1 and len(bins) > 1:  # the emptiest isn't repeated, its items stay for the next round
-            bins.remove(min(bins, key=lambda b: sum(ln * c for ln, c in b.items())))
-        for mix, n in Counter(tuple(b.items()) for b in bins).items():
-            out.append((n * times, dict(mix)))
-            for ln, c in mix:
-                left[ln] -= n * times * c
-    return out
+
+    def take(k: int, times: int) -> int:
+        times = min([times] + [int(left[ln]) // c for ln, c in pats[k]])
+        for ln, c in pats[k] if times > 0 else ():
+            left[ln] -= times * c
+        return max(0, times)
+
+    # whole repeats, the largest first, as far as the items go; then one more by the largest remainders
+    order = [k for k in np.argsort(-x, kind="stable") if x[k] > 1e-6]
+    times = {k: take(k, int(x[k])) for k in order}
+    for k in sorted(order, key=lambda k: -(x[k] % 1)):
+        times[k] += take(k, 1)
+    out += [(n, dict(pats[k])) for k, n in times.items() if n]
+    return out + best_fit(left, capacity)
 
 
 class Slots:
@@ -209,17 +225,21 @@ class Slots:
         return first[k] + (rank - lo[k]) // copies[k]
 
 
-def pack(documents: DataFrame, sizes: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, buckets: int = 32) -> DataFrame:
+def pack(documents: DataFrame, sizes: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, buckets: int = 64) -> DataFrame:
     """(size_id, capacity_tokens, container_id, doc_id, part, start_token, n_tokens): one row per item.
 
-    ``sizes`` has (size_id, capacity_tokens); it is a small table of settings.
+    ``sizes`` has (size_id, capacity_tokens), a table of settings; it is taken in parts of 64 capacities, so
+    that no broadcast holds more plans than that.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
     measured = scratch.cut(measure(documents, doc_id=doc_id, text=text, tokenizer=tokenizer))
-    caps = sizes.where("size_id is not null and capacity_tokens > 0").select("size_id", "capacity_tokens").distinct().limit(1001).collect()
-    if len(caps) > 1000:
-        raise ValueError("at most 1000 capacities at once")
+    caps = sizes.where("size_id is not null and capacity_tokens > 0").select("size_id", "capacity_tokens").distinct().orderBy("size_id").toLocalIterator()
+    parts = [_pack_measured(spark, scratch, measured, part, buckets) for part in iter(lambda: list(islice(caps, AT_ONCE)), [])]
+    return reduce(DataFrame.unionByName, parts or [_pack_measured(spark, scratch, measured, [], buckets)])
+
+
+def _pack_measured(spark, scratch: Scratch, measured: DataFrame, caps: list, buckets: int) -> DataFrame:
     cap = F.array(*[F.struct(F.lit(r.size_id).alias("size_id"), F.lit(r.capacity_tokens).alias("capacity_tokens")) for r in caps])
     if not caps:
         cap = F.expr("cast(array() as array<struct<size_id:int,capacity_tokens:int>>)")
@@ -253,7 +273,7 @@ def pack(documents: DataFrame, sizes: DataFrame, *, doc_id: str = "doc_id", text
     rank = F.row_number().over(W.partitionBy("size_id", "n_tokens", "bucket").orderBy("doc_id", "part"))
     ranked = (
         pieces.withColumn("r", rank)
-        .join(offsets, ["size_id", "n_tokens", "bucket"])
+        .join(offsets.hint("merge"), ["size_id", "n_tokens", "bucket"])  # both sides already lie by these keys
         .withColumn("rank", F.col("r") - 1 + F.col("offset"))
         .select("size_id", "capacity_tokens", "doc_id", "part", "start_token", "n_tokens", "rank")
     )
