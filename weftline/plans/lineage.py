@@ -7,6 +7,7 @@ computes its input twice) and can be dropped as soon as the next round has been
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,9 +18,12 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where unset, and then only in local mode."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        master = spark.sparkContext.master or ""
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors of {master} share")
         own = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = "file://" + own
