@@ -6,6 +6,8 @@ their lineage by written tables each round and test convergence with one aggrega
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ COMPATIBLE_TYPES = (
     ("ORGANIZATION", "LOCATION"),
     ("PHONE", "PHONE"),
 )
+#: Adjacency rows (both directions) up to which a graph is collected and broadcast: 60 MB as arrays.
+MAX_ADJACENCY = 4_000_000
 #: Entity types of the one-hot part of the node features, in order (fixed values).
 NODE_TYPES = ("PERSON", "PHONE", "VEHICLE", "LOCATION", "ORGANIZATION", "ACCOUNT", "DEVICE", "EVENT", "DOCUMENT")
 #: Neighbour types whose shares are features, in order (fixed values).
@@ -96,26 +100,25 @@ def component_profile(vertices: DataFrame, edges: DataFrame, comp: DataFrame) ->
     return size.join(n_edges, "component", "left").join(names, "component").na.fill(0, ["n_edges"])
 
 
-def distances(vertices: DataFrame, edges: DataFrame, max_hops: int = 200, max_component: int = 5000) -> DataFrame:
+def distances(vertices: DataFrame, edges: DataFrame, max_hops: int = 10_000) -> DataFrame:
     """(s, v, d, sigma) of all pairs in one component: distance and number of shortest paths.
 
-    Breadth-first from all nodes at once. Quadratic in a component, so components above
-    ``max_component`` nodes are refused rather than cut.
+    Breadth-first from all nodes at once, by joins: the way for graphs beyond ``MAX_ADJACENCY``. Its rows
+    are quadratic in a component by definition; a path longer than ``max_hops`` raises rather than ends.
     """
     scratch = Scratch(vertices.sparkSession, "graph-distances")
-    big = components(vertices, edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if big > max_component:
-        raise ValueError(f"a component has {big} nodes; all pairs are for at most {max_component}")
     adj = scratch.cut(adjacency(edges))
     front = vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1).cast("bigint").alias("sigma"))
     levels = [scratch.cut(front)]
-    for k in range(1, max_hops + 1):
+    for k in range(1, max_hops + 2):
         step = levels[-1].join(adj, F.col("v") == F.col("a")).groupBy("s", F.col("b").alias("v")).agg(F.sum("sigma").alias("sigma"))
         for old in levels[-2:]:  # a neighbour of level k-1 lies on level k-2, k-1 or k
             step = step.join(old.select("s", "v"), ["s", "v"], "left_anti")
         new = scratch.cut(step.select("s", "v", F.lit(k).alias("d"), "sigma"))
         if new.isEmpty():
             break
+        if k > max_hops:
+            raise RuntimeError(f"paths longer than {max_hops} hops")
         levels.append(new)
     out = levels[0]
     for x in levels[1:]:
@@ -123,6 +126,127 @@ def distances(vertices: DataFrame, edges: DataFrame, max_hops: int = 200, max_co
     return out
 
 
+class _Csr:
+    """A graph small enough to broadcast: neighbours of node k are ``near[start[k]:start[k + 1]]``; every node has some."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.ids = np.unique(a)
+        src, dst = np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)
+        order = np.argsort(src, kind="stable")
+        self.near = dst[order].astype(np.int32)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(self.ids)))]).astype(np.int64)
+
+    def hops(self, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes reached, itself included, and the sum of distances) of each source, 64 sources to a word."""
+        n, words = len(self.ids), -(-len(sources) // 64)
+        seen = np.zeros((n, words), dtype=np.uint64)
+        k = np.arange(len(sources))
+        np.bitwise_or.at(seen, (sources, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
+        front, reached, total, d = seen.copy(), np.ones(len(sources), np.int64), np.zeros(len(sources), np.int64), 0
+        while front.any():
+            d += 1
+            front = np.bitwise_or.reduceat(front[self.near], self.start[:-1], axis=0) & ~seen
+            seen |= front
+            bits = np.unpackbits(front.view(np.uint8), axis=1, bitorder="little")[:, : len(sources)].sum(axis=0, dtype=np.int64)
+            reached, total = reached + bits, total + d * bits
+        return reached, total
+
+    def dependencies(self, sources: np.ndarray) -> np.ndarray:
+        """Sum over the sources of each node's share in their shortest paths (levels forward, then back)."""
+        n, m = len(self.ids), len(sources)
+        level = np.full((n, m), -1, dtype=np.int32)
+        sigma = np.zeros((n, m))
+        level[sources, np.arange(m)], sigma[sources, np.arange(m)] = 0, 1.0
+        d = 0
+        spread = lambda x: np.add.reduceat(x[self.near], self.start[:-1], axis=0)
+        while True:
+            flow = spread(np.where(level == d, sigma, 0.0))
+            new = (flow > 0) & (level < 0)
+            if not new.any():
+                break
+            d += 1
+            level[new], sigma[new] = d, flow[new]
+        delta = np.zeros((n, m))
+        for k in range(d, 0, -1):
+            back = spread(np.where(level == k, (1.0 + delta) / np.where(sigma > 0, sigma, 1.0), 0.0))
+            delta += np.where(level == k - 1, sigma * back, 0.0)
+        delta[sources, np.arange(m)] = 0.0
+        return delta.sum(axis=1)
+
+
+def _broadcast_graph(edges: DataFrame):
+    """The adjacency as a broadcast if it has at most ``MAX_ADJACENCY`` rows, else None."""
+    scratch = Scratch(edges.sparkSession, "graph-csr")
+    adj = scratch.cut(adjacency(edges))
+    if adj.count() > MAX_ADJACENCY:
+        return None
+    rows = adj.toPandas()
+    scratch.drop(adj)
+    return edges.sparkSession.sparkContext.broadcast(_Csr(rows["a"].to_numpy(), rows["b"].to_numpy()))
+
+
+def hop_totals(vertices: DataFrame, edges: DataFrame, at_once: int = 256) -> DataFrame:
+    """(id, reached, total): nodes in reach, itself included, and the sum of distances to them.
+
+    Graphs of at most ``MAX_ADJACENCY`` adjacency rows are broadcast and their sources spread over the
+    tasks, a word of bits holding 64 of them; larger ones go by joins. Both are exact.
+    """
+    graph = _broadcast_graph(edges)
+    if graph is None:
+        return distances(vertices, edges).groupBy(F.col("s").alias("id")).agg(F.count("*").alias("reached"), F.sum("d").cast("bigint").alias("total"))
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, len(b), at_once):
+                x = b["k"].to_numpy()[lo : lo + at_once]
+                reached, total = graph.value.hops(x)
+                yield pd.DataFrame({"id": graph.value.ids[x], "reached": reached, "total": total})
+
+    kind = vertices.schema["id"].dataType.simpleString()
+    n = len(graph.value.ids)
+    done = vertices.sparkSession.range(0, n, 1, max(1, min(-(-n // at_once), 4096))).select(F.col("id").alias("k")).mapInPandas(run, f"id {kind}, reached bigint, total bigint")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return vertices.select("id").distinct().join(done, "id", "left").select("id", F.coalesce("reached", one).alias("reached"), F.coalesce("total", zero).alias("total"))
+
+
+def path_shares(vertices: DataFrame, edges: DataFrame, at_once: int = 16) -> DataFrame:
+    """(id, share): sum over ordered pairs of others of the share of their shortest paths through the node."""
+    graph = _broadcast_graph(edges)
+    if graph is None:
+        n = vertices.count()
+        scale = float(max(1, (n - 1) * (n - 2)))
+        return betweenness(distances(vertices, edges), n, digits=None).select("id", (F.col("betweenness") * scale).alias("share"))
+
+    def run(batches):
+        total = np.zeros(len(graph.value.ids))
+        for b in batches:
+            for lo in range(0, len(b), at_once):
+                total += graph.value.dependencies(b["k"].to_numpy()[lo : lo + at_once])
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"id": graph.value.ids[at], "share": total[at]})
+
+    kind = vertices.schema["id"].dataType.simpleString()
+    n = len(graph.value.ids)
+    # a task returns one number a node, so tasks are few and long rather than many
+    done = vertices.sparkSession.range(0, n, 1, max(1, min(-(-n // at_once), 64))).select(F.col("id").alias("k")).mapInPandas(run, f"id {kind}, share double")
+    per = done.groupBy("id").agg(F.sum("share").alias("share"))
+    return vertices.select("id").distinct().join(per, "id", "left").na.fill(0.0, ["share"])
+
+
+def closeness_of(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, closeness): (reached-1)/sum of distances, scaled by the share of nodes reached."""
+    n = vertices.select("id").distinct().agg(F.greatest(F.count("*") - 1, F.lit(1)).alias("others"))
+    c = F.when(F.col("total") > 0, (F.col("reached") - 1) / F.col("total") * (F.col("reached") - 1) / F.col("others")).otherwise(0.0)
+    return hop_totals(vertices, edges).crossJoin(F.broadcast(n)).select("id", F.round(c, 4).alias("closeness"))  # one row
+
+
+def betweenness_of(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, betweenness) over ordered pairs, divided by (n-1)(n-2)."""
+    n = vertices.select("id").distinct().agg(F.count("*").alias("n"))
+    scale = F.greatest(F.lit(1), (F.col("n") - 1) * (F.col("n") - 2))
+    return path_shares(vertices, edges).crossJoin(F.broadcast(n)).select("id", F.round(F.col("share") / scale, 6).alias("betweenness"))  # one row
+
+
 def closeness(dist: DataFrame, n: int) -> DataFrame:
     """(id, closeness): (reached-1)/sum of distances, scaled by the share of nodes reached."""
     g = dist.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("r"), F.sum("d").alias("total"))
@@ -130,7 +254,7 @@ def closeness(dist: DataFrame, n: int) -> DataFrame:
     return g.select("id", F.round(c, 4).alias("closeness"))
 
 
-def betweenness(dist: DataFrame, n: int) -> DataFrame:
+def betweenness(dist: DataFrame, n: int, digits: int | None = 6) -> DataFrame:
     """(id, betweenness) over ordered pairs, divided by (n-1)(n-2)."""
     left = dist.where("d > 0").select("s", "v", F.col("d").alias("d1"), F.col("sigma").alias("g1"))
     right = dist.where("d > 0").select(F.col("s").alias("v"), F.col("v").alias("t"), F.col("d").alias("d2"), F.col("sigma").alias("g2"))
@@ -139,7 +263,8 @@ def betweenness(dist: DataFrame, n: int) -> DataFrame:
     part = on_path.groupBy(F.col("v").alias("id")).agg(F.sum(F.expr("cast(g1 as double) * g2 / g3")).alias("b"))
     scale = float(max(1, (n - 1) * (n - 2)))
     ids = dist.select(F.col("s").alias("id")).distinct()
-    return ids.join(part, "id", "left").select("id", F.round(F.coalesce("b", F.lit(0.0)) / scale, 6).alias("betweenness"))
+    b = F.coalesce("b", F.lit(0.0)) / scale
+    return ids.join(part, "id", "left").select("id", (b if digits is None else F.round(b, digits)).alias("betweenness"))
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 50, damping: float = 0.85, tolerance: float | None = 1e-6) -> DataFrame:
@@ -191,6 +316,88 @@ def shortest_hops(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> Data
     return found
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
+    """(start, goal, hops, path) for each wanted pair within ``max_hops`` (1 to 6).
+
+    Of several shortest paths the first in the order of its ids, node by node, is given.
+    """
+    scratch = Scratch(edges.sparkSession, "graph-paths")
+    max_hops = 6 if max_hops <= 0 else min(6, max_hops)
+    adj = scratch.cut(adjacency(edges))
+    want = scratch.cut(pairs.select("start", "goal").distinct())
+    front = scratch.cut(want.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
+    found = want.where("start = goal").select("start", "goal", F.lit(0).alias("hops"), F.array("start").alias("path"))
+    seen = front.select("start", "at")
+    for k in range(1, max_hops + 1):
+        step = front.join(adj, F.col("at") == F.col("a")).groupBy("start", F.col("b").alias("at")).agg(F.min("path").alias("path"))
+        front = scratch.cut(step.join(seen, ["start", "at"], "left_anti").select("start", "at", F.concat("path", F.array("at")).alias("path")))
+        seen = seen.unionByName(front.select("start", "at"))
+        found = found.unionByName(want.join(front.withColumnRenamed("at", "goal"), ["start", "goal"]).select("start", "goal", F.lit(k).alias("hops"), "path"))
+    return found
+
+
+def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(start, goal, step, src, dst, ...): the stored edges, in either direction, between neighbouring nodes of each path."""
+    pair = F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("x"), F.expr("slice(path, 2, size(path) - 1)").alias("y"))
+    legs = paths.where("size(path) > 1").select("start", "goal", F.posexplode(pair).alias("p", "leg")).select("start", "goal", (F.col("p") + 1).alias("step"), "leg.x", "leg.y")
+    one = legs.join(edges, (F.col("x") == F.col("src")) & (F.col("y") == F.col("dst")))
+    other = legs.join(edges, (F.col("x") == F.col("dst")) & (F.col("y") == F.col("src"))).where("src <> dst")
+    return one.unionByName(other).drop("x", "y")
+
+
+def neighbourhood_edges(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, src, dst, ...): the edges with both ends in the neighbourhood of each root."""
+    ends = near.select("root", "id")
+    return edges.join(ends.withColumnRenamed("id", "src"), "src").join(ends.withColumnRenamed("id", "dst"), ["root", "dst"])
+
+
+def incident_edges(edges: DataFrame, nodes: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, direction, other, other_type, ...): the edges of each node of ``nodes``, seen from it; a loop counts once, as OUT."""
+    ids, types = nodes.select("id").distinct(), vertices.select(F.col("id").alias("other"), F.col("type").alias("other_type"))
+    out_ = edges.withColumnsRenamed({"src": "id", "dst": "other"}).withColumn("direction", F.lit("OUT"))
+    in_ = edges.where("src <> dst").withColumnsRenamed({"dst": "id", "src": "other"}).withColumn("direction", F.lit("IN"))
+    return out_.unionByName(in_).join(ids, "id").join(types, "other", "left")
+
+
+def community_profile(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, n_nodes, n_edges, density): inner edge rows over the possible pairs, three places."""
+    at = members.select("id", "community")
+    inner = edges.join(at.select(F.col("id").alias("src"), F.col("community").alias("c1")), "src").join(at.select(F.col("id").alias("dst"), F.col("community").alias("c2")), "dst")
+    n_edges = inner.where("c1 = c2").groupBy(F.col("c1").alias("community")).agg(F.count("*").alias("n_edges"))
+    size = at.groupBy("community").agg(F.count("*").alias("n_nodes")).join(n_edges, "community", "left").na.fill(0, ["n_edges"])
+    possible = F.col("n_nodes") * (F.col("n_nodes") - 1) / 2
+    return size.withColumn("density", F.coalesce(F.round(F.when(possible > 0, F.col("n_edges") / possible), 3), F.lit(0.0)))
+
+
+def analyse(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row a node: type, degrees, closeness, betweenness, rank, component and community, in one run."""
+    comp = components(vertices, edges)
+    out = vertices.select("id", "type").join(degree(vertices, edges), "id")
+    for part in (closeness_of(vertices, edges), betweenness_of(vertices, edges), pagerank(vertices, edges).select("id", F.round("rank", 6).alias("rank"))):
+        out = out.join(part, "id", "left")
+    return out.join(communities(edges, comp), "id", "left")
+
+
+#: Measures by which nodes may be ranked, and what breaks their ties.
+METRICS = {"degree": ("degree",), "closeness": ("closeness",), "pagerank": ("rank",), "betweenness": ("betweenness", "degree")}
+
+
+def top_nodes(run: DataFrame, metric: str = "betweenness", k: int = 20) -> DataFrame:
+    """The first k nodes by a measure; an unknown one counts as betweenness; k below 1 keeps all."""
+    by = METRICS.get(metric.lower(), METRICS["betweenness"])
+    ordered = run.orderBy(*[F.desc(c) for c in by], "id")
+    return ordered.limit(k) if k > 0 else ordered
+
+
+def component_leads(run: DataFrame) -> DataFrame:
+    """(component, n_nodes, types, top): members by type and the three with the most betweenness, then degree."""
+    types = run.groupBy("component", F.upper("type").alias("type")).agg(F.count("*").alias("n"))
+    said = types.groupBy("component").agg(F.sum("n").alias("n_nodes"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "type", "n"))), ",").alias("types"))
+    rank = W.partitionBy("component").orderBy(F.desc("betweenness"), F.desc("degree"), "id")
+    best = run.withColumn("r", F.row_number().over(rank)).where("r <= 3").groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x.id), ",").alias("top"))
+    return said.join(best, "component")
+
+
 def statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, edge rows, average degree and density."""
     n, m = vertices.agg(F.count("*").alias("n_nodes")), edges.agg(F.count("*").alias("n_edges"))
@@ -199,6 +406,12 @@ def statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return j.select("n_nodes", "n_edges", F.round(F.when(F.col("n_nodes") > 0, 2 * F.col("n_edges") / F.col("n_nodes")), 2).alias("avg_degree"), F.round(F.when(pairs > 0, F.col("n_edges") / pairs), 6).alias("density"))
 
 
+def average_path_length(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: mean distance of the ordered pairs that reach each other (two places, 0 without any)."""
+    t = hop_totals(vertices, edges).agg(F.sum("total").alias("t"), F.sum(F.col("reached") - 1).alias("n"))
+    return t.select(F.coalesce(F.round(F.when(F.col("n") > 0, F.col("t") / F.col("n")), 2), F.lit(0.0)).alias("avg_path_length"), F.col("n").alias("n_pairs"))
+
+
 def two_hop(edges: DataFrame) -> DataFrame:
     """(a, b, shared), a < b: pairs with a common neighbour and no edge, and how many they share.
 

@@ -2,7 +2,7 @@
 
 case = region number of a place; place = nation; entity = customer (PERSON) or supplier
 (ORGANIZATION); relationship = customer-supplier pairs of all order lines; event = row of
-``events``. The SQL below still has the relationships of rare lines only (``wide``, ``narrow``).
+``events``.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ def _entity_sql(t: str, p: str, letter: str, kind: str) -> str:
     n_name AS district, n_regionkey::BIGINT AS case_id FROM {t} JOIN nation ON {p}_nationkey = n_nationkey"""
 
 
-def _rel_sql(cond: str) -> str:
-    return f"SELECT DISTINCT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND {cond}"
+def _rel_sql(cond: str = "true") -> str:
+    return f"SELECT DISTINCT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE {cond}"
 
 
 #: CTEs for the SQL side, by name.
@@ -102,8 +102,8 @@ SQL = {
   FROM (SELECT *, regexp_extract(props, '"k":\s*(\d+)', 1)::BIGINT AS k FROM events))""",
     "live": "live AS (SELECT * FROM ev WHERE status <> 'REJECTED' AND s IS NOT NULL)",
     "ent": f"ent AS ({_entity_sql('customer', 'c', 'C', 'PERSON')} UNION ALL {_entity_sql('supplier', 's', 'S', 'ORGANIZATION')})",
-    "wide": f"wide AS ({_rel_sql('l_quantity >= 49')})",
-    "narrow": f"narrow AS ({_rel_sql('l_quantity >= 50 AND l_discount >= 0.05')})",
+    "rel": f"rel AS ({_rel_sql()})",
+    "rare": f"rare AS ({_rel_sql("l_returnflag = 'R' AND l_quantity >= 50 AND l_discount >= 0.05")})",
 }
 
 
