@@ -136,18 +136,18 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_filter_multi": with_("ev") + "SELECT id, pid, kind, s, e FROM ev WHERE upper(kind) = 'ERROR' AND case_id = 2 AND s >= 1704585600000000 AND e <= 1705881600000000",
-        "substring_search_degree": with_("ent", "wide")
+        "substring_search_degree": with_("ent", "rel")
         + """SELECT e.id, e.name, coalesce(d.n, 0) AS degree FROM ent e LEFT JOIN
-             (SELECT id, count(*) n FROM (SELECT src id FROM wide UNION ALL SELECT dst FROM wide) GROUP BY id) d ON d.id = e.id
+             (SELECT id, count(*) n FROM (SELECT src id FROM rel UNION ALL SELECT dst FROM rel) GROUP BY id) d ON d.id = e.id
              WHERE contains(lower(e.name), '00012') OR contains(lower(e.id), '00012')""",
-        "kpi_summary": with_("ent", "wide")
+        "kpi_summary": with_("ent", "rel")
         + """SELECT case_id, count(*) AS n_entities, count(*) FILTER (risk = 'CRITICAL') AS n_critical, count(*) FILTER (status = 'VERIFIED') AS n_verified,
-             count(*) FILTER (id IN (SELECT src FROM wide)) AS n_linked, count(DISTINCT district) AS n_districts FROM ent GROUP BY case_id""",
+             count(*) FILTER (id IN (SELECT src FROM rel)) AS n_linked, count(DISTINCT district) AS n_districts FROM ent GROUP BY case_id""",
         "type_histogram": "SELECT upper(type) AS type, count(*) AS n FROM (SELECT DISTINCT entity_id, type FROM entities) GROUP BY 1",
         "fk_enrich": """SELECT r_name, n_name, count(*) AS n_orders, count(DISTINCT c_custkey) AS n_customers, max(o_orderkey) AS last_order
              FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
-             WHERE o_orderpriority = '1-URGENT' GROUP BY ALL""",
-        "membership_edges": with_("ent", "wide") + "SELECT src, dst FROM wide WHERE src IN (SELECT id FROM ent WHERE status = 'VERIFIED') AND dst IN (SELECT id FROM ent WHERE status = 'VERIFIED')",
+             GROUP BY ALL""",
+        "membership_edges": with_("ent", "rel") + "SELECT src, dst FROM rel WHERE src IN (SELECT id FROM ent WHERE status = 'VERIFIED') AND dst IN (SELECT id FROM ent WHERE status = 'VERIFIED')",
         "unledgered_docs": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM review_labels r WHERE r.doc_id = d.doc_id)",
         "active_and_latest": with_("ev", "live") + "SELECT pid, id, kind, s FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY s DESC, id DESC) r FROM live) WHERE r = 1",
         "timeline_page": """SELECT id, upper(event_type) AS kind FROM (SELECT DISTINCT id, case_id, upper(event_type) event_type, start_time_utc, created_at_utc FROM timeline_events)
@@ -155,12 +155,12 @@ def oracle_sql() -> dict[str, str]:
         "page_clamped": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200",
         "priority_queue": """SELECT id, priority FROM (SELECT id, max(priority) priority, max(created_at) created_at FROM investigations GROUP BY id)
              ORDER BY CASE upper(priority) WHEN 'CRITICAL' THEN 2 WHEN 'HIGH' THEN 1 ELSE 0 END DESC, created_at DESC NULLS LAST, id LIMIT 6""",
-        "set_union_existing_wins": with_("wide", "narrow")
-        + """SELECT src, dst, 'stored' AS origin FROM narrow UNION ALL
-             SELECT least(src, dst), greatest(src, dst), 'added' FROM wide w WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.src = w.src AND n.dst = w.dst)""",
+        "set_union_existing_wins": with_("rel", "rare")
+        + """SELECT src, dst, 'stored' AS origin FROM rare UNION ALL
+             SELECT least(src, dst), greatest(src, dst), 'added' FROM rel w WHERE NOT EXISTS (SELECT 1 FROM rare n WHERE n.src = w.src AND n.dst = w.dst)""",
         "upsert_nodes": with_("ent") + "SELECT CASE WHEN risk = 'CRITICAL' THEN 'REVIEW' ELSE risk END AS risk, count(*) AS n FROM ent GROUP BY 1",
-        "upsert_edges": with_("ent", "wide", "narrow", "ok AS (SELECT w.* FROM wide w WHERE src IN (SELECT id FROM ent WHERE status = 'VERIFIED') AND dst IN (SELECT id FROM ent WHERE status = 'VERIFIED'))")
-        + "SELECT origin, count(*) AS n FROM (SELECT 'new' origin FROM ok UNION ALL SELECT 'old' FROM narrow n WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.src = n.src AND ok.dst = n.dst)) GROUP BY 1",
+        "upsert_edges": with_("ent", "rel", "rare", "ok AS (SELECT w.* FROM rel w WHERE src IN (SELECT id FROM ent WHERE status = 'VERIFIED') AND dst IN (SELECT id FROM ent WHERE status = 'VERIFIED'))")
+        + "SELECT origin, count(*) AS n FROM (SELECT 'new' origin FROM ok UNION ALL SELECT 'old' FROM rare n WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.src = n.src AND ok.dst = n.dst)) GROUP BY 1",
         "cosine_pairs": """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
              c AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM e, generate_series(1, 64) t(i) GROUP BY ALL) GROUP BY label)
              SELECT vec_id, round((list_cosine_similarity(v, m) + 1) / 2, 6) AS cos FROM e JOIN c USING (label)""",

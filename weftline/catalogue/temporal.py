@@ -9,6 +9,7 @@ from weftline.functions.geo import HAVERSINE_SQL
 from weftline.operators import detect as D
 from weftline.operators import spatial as X
 from weftline.operators import temporal as T
+from weftline.operators.spans import micros
 from weftline.sources import canon
 from weftline.sources.canon import with_
 from weftline.sources.tables import table
@@ -144,7 +145,33 @@ def alert_summary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_ALL = [active_period, entity_sequence, sessions_36h, overlap_pairs, copresence_pairs, location_activity, location_visits, radius_search, travel_sequence,
+def _stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored events that were not rejected, once each."""
+    e = table(spark, sf, "timeline_events").where("upper(verification_status) <> 'REJECTED' or verification_status is null")
+    return e.dropDuplicates(["id"]).select(
+        "id", "case_id", micros("start_time_utc").alias("s"), micros("end_time_utc").alias("e"), F.upper("time_precision").alias("precision"), F.upper("verification_status").alias("status"),
+        F.col("location_entity_id").alias("loc"), F.col("location_name").alias("place"), F.col("related_entity_ids").alias("people"), F.col("confidence").alias("conf"),
+    )
+
+
+def related_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return T.related_overlaps(_stored(spark, sf)).select("case_id", "a_id", "b_id", "same_place", "n_shared", F.round("minutes", 3).alias("minutes"), F.round("score", 6).alias("score"))
+
+
+def cross_case_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return T.cross_case_overlaps(_stored(spark, sf), "place").select("a_id", "b_id", F.round("minutes", 3).alias("minutes"), F.round("score", 6).alias("score"))
+
+
+def cross_case_places(spark: SparkSession, sf: str) -> DataFrame:
+    return T.cross_case_overlaps(_stored(spark, sf), "loc", 0.0, 0.90).groupBy("key").agg(F.count("*").alias("n_pairs"), F.min("a_id").alias("first_id"), F.round(F.sum("minutes"), 2).alias("minutes"))
+
+
+def copresence_entities(spark: SparkSession, sf: str) -> DataFrame:
+    c = X.copresence_of_lists(_stored(spark, sf)).groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
+    return c.agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("score"))
+
+
+_ALL = [related_overlaps, cross_case_overlap, cross_case_places, copresence_entities, active_period, entity_sequence, sessions_36h, overlap_pairs, copresence_pairs, location_activity, location_visits, radius_search, travel_sequence,
         implausible_travel, geo_outliers, leader_clusters, detect_network, detect_burst, detect_surge, detect_spike, detect_travel, detect_velocity, detect_network_all, detect_geographic,
         detect_consistency, detect_cross_case, alerts_dedup, alert_summary]
 
@@ -171,7 +198,7 @@ def _greedy(name: str, rows: str, least: int) -> str:
 
 _BURST = _greedy("burst", "SELECT pid AS k, s, id FROM live", 4)
 _SURGE = _greedy("surge", "SELECT least(pid % 20, pid2) || '~' || greatest(pid % 20, pid2) AS k, s, id FROM live WHERE pid % 20 <> pid2", 5)
-_DEG = "deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM wide UNION ALL SELECT dst FROM wide) GROUP BY id)"
+_DEG = "deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) GROUP BY id)"
 _NET = """net AS (SELECT id, d, least(0.95, 0.60 + 0.08::DOUBLE * d / m) AS score FROM deg, (SELECT avg(d) AS m FROM deg) WHERE d >= 5 AND (d >= 2 * m OR d >= 10))"""
 _DAY = """day AS (SELECT case_id, s // 86400000000 AS day, count(*) AS n FROM live GROUP BY ALL),
 dz AS (SELECT d.*, n / mean AS ratio, CASE WHEN sd > 1e-4 THEN (n - mean) / sd ELSE 0.0 END AS z FROM day d
@@ -189,8 +216,19 @@ al2 AS (SELECT *, CASE WHEN said IN ('HIGH', 'CRITICAL') THEN said WHEN round(pr
 
 def oracle_sql() -> dict[str, str]:
     travel = with_("ev", "live", "place", _LOCATED, _LEGS)
-    signals = with_("ev", "live", "wide", _DEG, _NET, _BURST, _SURGE, _DAY, _SIG, recursive=True)
+    signals = with_("ev", "live", "rel", _DEG, _NET, _BURST, _SURGE, _DAY, _SIG, recursive=True)
+    stored = """st AS (SELECT * FROM (SELECT DISTINCT ON (id) id, case_id, epoch_us(start_time_utc) AS s, epoch_us(coalesce(end_time_utc, start_time_utc)) AS e, upper(time_precision) AS pr, upper(verification_status) AS vs, nullif(lower(trim(location_entity_id)), '') AS loc,
+      nullif(lower(trim(location_name)), '') AS place, list_distinct(list_transform(coalesce(related_entity_ids, []), lambda x: lower(x))) AS ppl, list_distinct(coalesce(related_entity_ids, [])) AS people, coalesce(confidence, 0.0) AS conf FROM timeline_events) WHERE coalesce(vs, '') <> 'REJECTED'),
+      mt AS (SELECT a.case_id AS ca, b.case_id AS cb, a.id AS a_id, b.id AS b_id, a.pr AS ap, b.pr AS bp, a.vs AS av, b.vs AS bv, a.loc AS la, b.loc AS lb, a.place AS pa, b.place AS pb, a.ppl AS xa, b.ppl AS xb, a.people AS ua, b.people AS ub, a.conf AS fa, b.conf AS fb,
+        (least(a.e, b.e) - greatest(a.s, b.s)) / 6e7 AS minutes FROM st a JOIN st b ON a.id < b.id AND a.s < b.e AND b.s < a.e AND a.s < a.e AND b.s < b.e AND {})""".format
     return {
+        "related_overlaps": "WITH " + stored("a.case_id = b.case_id AND (a.loc = b.loc OR a.place = b.place OR list_has_any(a.ppl, b.ppl))") + """, z AS (SELECT *, coalesce(la = lb, false) OR coalesce(pa = pb, false) AS same FROM mt WHERE minutes >= 1)
+             SELECT ca AS case_id, a_id, b_id, same AS same_place, len(list_intersect(xa, xb)) AS n_shared, round(minutes, 3) AS minutes, round(0.40::DOUBLE * least(1.0, minutes / 60) + 0.25::DOUBLE * CASE WHEN ap = 'EXACT' AND bp = 'EXACT' THEN 1.0 WHEN ap = 'MINUTE' OR bp = 'MINUTE' THEN 0.9 ELSE 0.7 END
+             + 0.20::DOUBLE * CASE WHEN same THEN 1.0 ELSE 0.6 END + 0.15::DOUBLE * CASE WHEN av = 'APPROVED' AND bv = 'APPROVED' THEN 1.0 ELSE 0.85 END, 6) AS score FROM z""",
+        "cross_case_overlap": "WITH " + stored("a.case_id <> b.case_id AND a.place = b.place") + " SELECT a_id, b_id, round(minutes, 3) AS minutes, round(0.40::DOUBLE * least(1.0, minutes / 60) + 0.60, 6) AS score FROM mt WHERE minutes >= 1",
+        "cross_case_places": "WITH " + stored("a.case_id <> b.case_id AND a.loc = b.loc") + " SELECT la AS key, count(*) AS n_pairs, min(a_id) AS first_id, round(sum(minutes), 2) AS minutes FROM mt GROUP BY la",
+        "copresence_entities": "WITH " + stored("a.case_id = b.case_id AND (a.loc = b.loc OR a.place = b.place)") + """, x AS (SELECT a_id, b_id, unnest(ua) AS a, ub, least(1.0, 0.5 + least(minutes, 60.0) / 120 + 0.3::DOUBLE * least(fa, fb)) AS score FROM mt), y AS (SELECT a, unnest(ub) AS b, score FROM x)
+             SELECT least(a, b) AS p, greatest(a, b) AS q, count(*) AS n, round(max(score), 6) AS score FROM y WHERE lower(a) <> lower(b) AND trim(a) <> '' AND trim(b) <> '' GROUP BY ALL""",
         "active_period": with_("ev") + "SELECT pid, min(s) AS first_s, max(coalesce(e, s)) AS last_e, count(*) AS n_events FROM ev GROUP BY pid",
         "entity_sequence": with_("ev", "live", "q AS (SELECT pid, id, row_number() OVER w AS step, greatest(0.0, (s - lag(coalesce(e, s)) OVER w) / 6e7) AS minutes, lag(id) OVER w AS p FROM live WINDOW w AS (PARTITION BY pid ORDER BY s, id))")
         + """SELECT pid, id, step, round(minutes, 3) AS minutes, CASE WHEN step = 1 THEN 'Origin' WHEN minutes < 60 THEN floor(minutes)::BIGINT || ' min'
@@ -228,7 +266,7 @@ def oracle_sql() -> dict[str, str]:
                                  FROM r JOIN o ON o.case_id = r.case_id AND o.rn = r.rn + 1,
                                  LATERAL (SELECT min(d.lead) AS l FROM dist d WHERE d.loc = o.loc AND list_contains(r.leaders, d.lead)) f)""", recursive=True)
         + "SELECT r.case_id, leader, count(*) AS n, round(avg(o.lat), 4) AS lat, round(avg(o.lon), 4) AS lon FROM r JOIN o USING (case_id, rn) GROUP BY ALL",
-        "detect_network": with_("wide", _DEG, _NET) + "SELECT id AS source, round(score, 6) AS score, CASE WHEN d >= 10 OR score >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM net",
+        "detect_network": with_("rel", _DEG, _NET) + "SELECT id AS source, round(score, 6) AS score, CASE WHEN d >= 10 OR score >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM net",
         "detect_burst": with_("ev", "live", _BURST, recursive=True)
         + "SELECT k::VARCHAR AS source, s::VARCHAR AS window_key, round(least(0.92, 0.60 + 0.05::DOUBLE * n), 6) AS score, CASE WHEN n >= 8 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM burst",
         "detect_surge": with_("ev", "live", _SURGE, recursive=True)
@@ -242,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         + """, v AS (SELECT *, CASE WHEN s - ps <= 0 THEN 0.001 ELSE (s - ps) / 3.6e9 END AS hours FROM legs WHERE ps IS NOT NULL), k AS (SELECT *, km / hours AS kmh FROM v WHERE km >= 80)
              SELECT pid::VARCHAR AS source, loc::VARCHAR AS place, s::VARCHAR AS window_key, round(least(0.96, 0.70 + least(0.25, kmh / 2000 * 0.25)), 6) AS score,
              CASE WHEN kmh > 1000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM k WHERE kmh > 800""",
-        "detect_network_all": with_("ent", "wide", _DEG, """net AS (SELECT id, d, least(0.95, 0.60 + 0.08::DOUBLE * d / m) AS score FROM deg, (SELECT (SELECT sum(d) FROM deg)::DOUBLE / (SELECT count(*) FROM ent) AS m) WHERE d >= 5 AND (d >= 2.5 * m OR d >= 10))""")
+        "detect_network_all": with_("ent", "rel", _DEG, """net AS (SELECT id, d, least(0.95, 0.60 + 0.08::DOUBLE * d / m) AS score FROM deg, (SELECT (SELECT sum(d) FROM deg)::DOUBLE / (SELECT count(*) FROM ent) AS m) WHERE d >= 5 AND (d >= 2.5 * m OR d >= 10))""")
         + "SELECT id AS source, round(score, 6) AS score, CASE WHEN d >= 10 OR score >= 0.85 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM net",
         "detect_geographic": with_("ev", "live", "place", _LOCATED, "f AS (SELECT *, first_value(lat) OVER w AS plat, first_value(lon) OVER w AS plon FROM located WINDOW w AS (PARTITION BY pid ORDER BY s, id))",
                                    f"d AS (SELECT pid, loc, max({HAVERSINE_SQL.format(a='p', b='')}) AS km FROM f GROUP BY pid, loc)")
@@ -251,7 +289,7 @@ def oracle_sql() -> dict[str, str]:
              UNION ALL SELECT 'BAD_COORDINATES', id, 'HIGH' FROM locations WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT isnan(lat) AND NOT isnan(lon))""",
         "detect_cross_case": """SELECT lower(name) AS source, count(DISTINCT linked_investigation_id)::VARCHAR AS target FROM entities
              WHERE name IS NOT NULL AND linked_investigation_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT linked_investigation_id) > 1""",
-        "alerts_dedup": signals + "SELECT fingerprint, alert_type, source, round(score, 6) AS score, 2::BIGINT AS n_signals, round(priority, 3) AS priority, severity FROM al2",
+        "alerts_dedup": signals + "SELECT fingerprint, alert_type, source, round(score, 6) AS score, 2::BIGINT AS n_signals, round(round(priority, 4), 3) AS priority, severity FROM al2",
         "alert_summary": signals
         + """SELECT alert_type, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS n_critical, count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium
              FROM al2 GROUP BY alert_type""",

@@ -2,13 +2,15 @@
 
 A detector is a function of prepared inputs that returns signals; ``DETECTORS`` is the registry to
 which more can be added. Greedy selections (bursts, surges) count forward with a RANGE window and
-then fold over each key's sorted hits inside the JVM.
+then read each run of hits in order with constant state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,22 +44,28 @@ def greedy_windows(rows: DataFrame, key: str, window_us: int, least: int) -> Dat
     """Greedy non-overlapping windows: from a row on, the rows within the window; with ``least`` rows
     or more it is a hit and the next row looked at is that many rows on, else the next one.
 
-    ``rows``: (key, s, id). Returns (key, s, n). Rows that cannot start a hit are dropped before
-    anything is collected; what is left per key is one small struct a row.
+    ``rows``: (key, s, id). Returns (key, s, n). Rows that cannot start a hit are dropped first. What is
+    left falls into runs that no earlier hit reaches into, so that the choice starts anew in each; runs are
+    spread over the tasks, and each is read in order with one number of state, never collected.
     """
     by = W.partitionBy(key)
     counted = rows.withColumn("rn", F.row_number().over(by.orderBy("s", "id"))).withColumn("n", F.count("*").over(by.orderBy("s").rangeBetween(0, window_us)))
-    hits = counted.where(F.col("n") >= least).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rn", "s", "n"))).alias("h"))
-    start = F.struct(F.lit(0).alias("free"), F.expr("cast(array() as array<struct<s:bigint,n:bigint>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = x.rn >= acc.free
-        return F.struct(
-            F.when(take, (x.rn + x.n).cast("int")).otherwise(acc.free).alias("free"),
-            F.when(take, F.concat(acc.out, F.array(F.struct(x.s.alias("s"), x.n.alias("n"))))).otherwise(acc.out).alias("out"),
-        )
-
-    return hits.select(key, F.explode(F.aggregate("h", start, step, lambda a: a.out)).alias("w")).select(key, "w.s", "w.n")
+    before = by.orderBy("rn").rowsBetween(W.unboundedPreceding, -1)
+    hits = counted.where(F.col("n") >= least).withColumn("new", (F.col("rn") >= F.coalesce(F.max(F.col("rn") + F.col("n")).over(before), F.lit(0))).cast("int"))
+    runs = hits.withColumn("run", F.sum("new").over(by.orderBy("rn"))).select(key, "run", "rn", "s", F.col("n").cast("bigint").alias("n"), "new")
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        free = 0
+        for b in batches:
+            take = np.zeros(len(b), dtype=bool)
+            for i, (new, rn, n) in enumerate(zip(b["new"].to_numpy(), b["rn"].to_numpy(), b["n"].to_numpy())):
+                if new or rn >= free:  # a run's first row is always free
+                    take[i], free = True, rn + n
+            yield b.loc[take, [key, "s", "n"]]
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    placed = runs.repartition(key, "run").sortWithinPartitions(key, "run", "rn")
+    return placed.mapInPandas(choose, f"`{key}` {kind[key]}, s {kind['s']}, n bigint")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

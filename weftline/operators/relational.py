@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.plans.lineage import Scratch
+
 
 def where_given(df: DataFrame, *, equal: dict | None = None, at_least: dict | None = None, at_most: dict | None = None) -> DataFrame:
     """Conjunction of the predicates whose argument is given; blank and ``ALL`` mean not given.
@@ -54,15 +56,23 @@ def histogram(df: DataFrame, column: str, keys: list[str] | None = None) -> Data
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` put in place of those of equal keys."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """``old`` and ``new`` merged by key: a column takes the new value where there is one, else keeps the old.
+
+    Columns that only one side has are kept. Of several new rows of a key the greatest value of each column
+    counts, nulls aside. Rows with a null in a key match nothing and are kept as they are.
+    """
+    rest = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
+    one = new.groupBy(*keys).agg(*[F.max(c).alias(f"_new_{c}") for c in rest if c in new.columns])
+    both = old.withColumnsRenamed({c: f"_old_{c}" for c in rest}).join(one, keys, "full")
+    value = {c: F.coalesce(*[F.col(f"_{p}_{c}") for p, d in (("new", new), ("old", old)) if c in d.columns]) for c in rest}
+    return both.select(*keys, *[v.alias(c) for c, v in value.items()])
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of (src, type, dst) merged; new edges without both ends among ``nodes`` are left out."""
     ends = nodes.select("id")
     ok = new.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return upsert(old, ok.dropDuplicates(["src", "type", "dst"]), ["src", "type", "dst"])
+    return upsert(old, ok, ["src", "type", "dst"])
 
 
 def pair_key(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -75,9 +85,11 @@ def without_known_pairs(pairs: DataFrame, known: DataFrame, a: str = "a", b: str
     return pair_key(pairs, a, b).join(pair_key(known.select(a, b), a, b).distinct(), [a, b], "left_anti")
 
 
-def rank_in(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each key."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+def rank_in(df: DataFrame, keys: list[str], order: list[Column], k: int, keep_rank: str | None = None) -> DataFrame:
+    """The first k rows of each key; ``keep_rank`` names a column for their place."""
+    r = keep_rank or "_r"
+    first = df.withColumn(r, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(r) <= k)
+    return first if keep_rank else first.drop(r)
 
 
 def classifier_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> DataFrame:
@@ -88,9 +100,18 @@ def classifier_metrics(df: DataFrame, label: str, score: str, threshold: float =
     """
     y = F.col(label).cast("bigint")
     per = df.groupBy(F.col(score).alias("sc")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    up = W.orderBy("sc")
-    down = W.orderBy(F.desc("sc"))
-    run = per.withColumn("q_below", F.sum("q").over(up) - F.col("q")).withColumn("tp", F.sum("p").over(down)).withColumn("n_at", F.sum(F.expr("p + q")).over(down))
+    # ranges of scores lie in one task each; what lies below and above a range comes from the ranges' sums
+    ranged = Scratch(df.sparkSession, "metrics").cut(per.repartitionByRange("sc").withColumn("part", F.spark_partition_id()))
+    every = W.partitionBy(F.lit(0)).orderBy("part")  # one row a range
+    sums = ranged.groupBy("part").agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))
+    sums = sums.select("part", (F.sum("qs").over(every) - F.col("qs")).alias("q0"), *[(F.sum(c).over(W.partitionBy(F.lit(0))) - F.sum(c).over(every)).alias(f"{c[0]}1") for c in ("ps", "qs")])
+    up, down = W.partitionBy("part").orderBy("sc"), W.partitionBy("part").orderBy(F.desc("sc"))
+    run = (
+        ranged.join(F.broadcast(sums), "part")
+        .withColumn("q_below", F.col("q0") + F.sum("q").over(up) - F.col("q"))
+        .withColumn("tp", F.col("p1") + F.sum("p").over(down))
+        .withColumn("n_at", F.col("p1") + F.col("q1") + F.sum(F.expr("p + q")).over(down))
+    )
     t = run.agg(
         F.sum("p").alias("P"),
         F.sum("q").alias("N"),

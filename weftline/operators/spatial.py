@@ -63,6 +63,23 @@ def copresence(ev: DataFrame) -> DataFrame:
     return pairs.withColumn("minutes", minutes).withColumn("score", score)
 
 
+def copresence_of_lists(ev: DataFrame) -> DataFrame:
+    """Different participants of overlapping events of one case at one place, by id or else by name.
+
+    ``ev``: (id, case_id, s, e, loc, place, people, conf). One row per pair of events and of participants, a from the
+    event with the smaller id; a missing confidence counts as 0.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", F.lower(c))
+    keys = F.array_compact(F.array(F.concat(F.lit("L"), blank("loc")), F.concat(F.lit("T"), blank("place"))))
+    people = F.array_distinct(F.filter("people", lambda x: F.trim(x) != ""))
+    side = ev.select("case_id", "id", "s", F.coalesce("e", "s").alias("e"), F.coalesce("conf", F.lit(0.0)).alias("conf"), people.alias("people"), F.explode(keys).alias("key")).where("size(people) > 0")
+    met = overlaps(side, side, ["case_id", "key"], F.col("a_id") < F.col("b_id")).drop("key").distinct()
+    minutes = (F.col("oe") - F.col("os")) / 6e7
+    score = F.least(F.lit(1.0), 0.5 + F.least(minutes, F.lit(60.0)) / 120 + 0.3 * F.least("a_conf", "b_conf"))
+    pairs = met.withColumn("minutes", minutes).withColumn("score", score).select("case_id", "a_id", "b_id", "os", "oe", "minutes", "score", F.explode("a_people").alias("a"), "b_people")
+    return pairs.select("case_id", "a_id", "b_id", "os", "oe", "minutes", "score", "a", F.explode("b_people").alias("b")).where(F.lower("a") != F.lower("b"))
+
+
 def leader_clusters(points: DataFrame, key: str, km: float = 25.0) -> DataFrame:
     """Greedy clusters per key: in order of id, a free point leads and takes all free points within ``km`` of it.
 
