@@ -22,7 +22,7 @@ def phone(c: Column) -> Column:
     digits = F.regexp_replace(F.when(plus, F.substr(kept, F.lit(2))).otherwise(kept), r"^0+(?=[0-9]{10})", "")
     return (
         F.when(F.coalesce(c, F.lit("")) == "", "")
-        .when(digits.rlike("^91[0-9]{10}$") | (digits.rlike("^[0-9]{10}$") & F.lit(False)), F.concat(F.lit("+"), digits))
+        .when(digits.rlike("^91[0-9]{10}$"), F.concat(F.lit("+"), digits))
         .when(F.length(digits) == 10, F.concat(F.lit("+91"), digits))
         .when(plus, kept)
         .when(digits != "", F.concat(F.lit("+"), digits))
