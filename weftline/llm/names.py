@@ -2,20 +2,26 @@
 
 1. Names become tokens; the distinct tokens of the corpus are joined with each other by a
    prefix-filtered set-similarity join on q-grams (rarest q-grams first, within one letter of
-   length), and pairs one edit apart are spelling variants; each token gets the best supported
-   spelling near it. Vocabularies grow far slower than rows, and no name pairs are formed here.
+   length), as typed and as they sound. Pairs one edit apart are near; the join finds all of them.
+   Each token has a best supported spelling near it, and options: the near ones that stand for themselves.
 2. A token's place in names tells which token of a name is the family name or brand. Short forms
    of given names come from a given list and from names that state both ("X alias Y", "X @ Y");
    initials and short forms are settled among the given names that occur with the same family
    name. Abbreviated lines of business are settled among the lines that occur.
-3. Each name gets a representative (family and given name, brand and line) and is verified
-   against it by soft weighted token similarity, where rare tokens count more.
+3. Representatives are the pairs of settled tokens that occur. A name's candidates are the
+   representatives near it in both tokens; each is verified by soft weighted token similarity, where
+   rare tokens count more, and the most similar one of at least ``min_score`` is the name's.
 4. Rows with one representative are one entity; pairs are formed only inside these groups.
 
+Vocabularies grow far slower than rows, and a name meets few representatives: a family name that a third
+of all rows share is one token, and no pairs of names are formed within it.
+
 Defined results: rows without id, name or a type that reads as person or organisation give
 nothing; letter case, punctuation, titles, legal forms and middle initials do not count. An
 initial that fits several given names of the family, and a short form that does likewise, link
-nothing. Repeated rows count once; an id with several names joins the groups of all of them.
+nothing, nor does a person's name of one word. Tokens of one to three letters have no variants. A token of
+more than three rows only moves to one ten times as frequent. Repeated rows count once; an id with several
+names joins the groups of all of them.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ LEGAL = (
     "enterprises enterprise entp entps and the messrs"
 )
 Q = 3
+SALTS = 8
+SHORT = 6  # letters up to which tokens are also joined by their deletions
 PREFIX = 5  # one transposition touches at most q + 1 of the padded q-grams: prefix q + 2
 
 
@@ -97,12 +105,18 @@ def similar_tokens(vocab: DataFrame) -> DataFrame:
     )
     left = prefix.select("kind", "g", F.col("token").alias("a"), F.col("key").alias("ka"), F.explode(F.expr("array(len - 1, len, len + 1)")).alias("len"))
     right = prefix.select("kind", "g", F.col("token").alias("b"), F.col("key").alias("kb"), "len")
-    pairs = left.join(right, ["kind", "g", "len"]).where("a < b").select("kind", "a", "ka", "b", "kb").distinct()
+    pairs = left.join(right, ["kind", "g", "len"]).where("a < b").select("kind", "a", "ka", "b", "kb")
+    # short tokens may share no q-gram with a neighbour, but one edit apart they share a deletion
+    cut = F.expr("array_distinct(concat(array(key), transform(sequence(1, length(key)), i -> concat(left(key, i - 1), substr(key, i + 1)))))")
+    short = vocab.where(f"length(key) between 1 and {SHORT}").select("kind", "token", "key", F.explode(cut).alias("g"))
+    brief = short.select("kind", "g", F.col("token").alias("a"), F.col("key").alias("ka")).join(short.select("kind", "g", F.col("token").alias("b"), F.col("key").alias("kb")), ["kind", "g"])
+    pairs = pairs.unionByName(brief.where("a < b").select("kind", "a", "ka", "b", "kb")).distinct()
     return pairs.where(one_edit("ka", "kb")).select("kind", "a", "b")
 
 
-def spellings(tokens: DataFrame, protected: DataFrame, scratch: Scratch, least_length: int = 4) -> DataFrame:
-    """(kind, token, canon, n, first_share): the best supported spelling near each token.
+def spellings(tokens: DataFrame, protected: DataFrame, scratch: Scratch, least_length: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(kind, token, canon, n_canon, first_share): the best supported spelling near each token; and
+    (kind, token, option): all near spellings that stand for themselves.
 
     ``tokens`` has (kind, token, first) for every token of every row, ``protected`` the (token)
     that stay as they are. A token moves to a neighbour at least ten times as frequent, or to any
@@ -128,14 +142,30 @@ def spellings(tokens: DataFrame, protected: DataFrame, scratch: Scratch, least_l
         .agg(F.max_by("b", F.struct("nb", "db", "b")).alias("up"))
     )
     hop = scratch.cut(vocab.join(better.withColumnRenamed("a", "token"), ["kind", "token"], "left").select("kind", "token", F.coalesce("up", "token").alias("up")))
-    for _ in range(2):  # a variant of a variant
+    while True:  # a variant of a variant; ranks rise along a chain, so this ends
         above = hop.select("kind", F.col("token").alias("up"), F.col("up").alias("top"))
-        hop = hop.join(above, ["kind", "up"], "left").select("kind", "token", F.coalesce("top", "up").alias("up"))
+        on = scratch.cut(hop.join(above, ["kind", "up"], "left").select("kind", "token", F.coalesce("top", "up").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        scratch.drop(hop)
+        hop = on.drop("moved")
+        if on.where("moved").isEmpty():
+            break
     canon = vocab.join(hop, ["kind", "token"]).select("kind", "token", F.col("up").alias("canon"), "n", "n_first", "n_place")
     total = canon.groupBy("kind", "canon").agg(
         F.sum("n").alias("n_canon"), ((F.sum("n_first") + 1) / (F.sum("n_place") + 2)).alias("first_share")
     )
-    return scratch.cut(canon.join(total, ["kind", "canon"]).select("kind", "token", "canon", "n_canon", "first_share"))
+    settled = hop.where("token = up").select("kind", F.col("token").alias("b"))
+    options = both.join(settled, ["kind", "b"]).select("kind", F.col("a").alias("token"), F.col("b").alias("option")).unionByName(hop.withColumnRenamed("up", "option")).distinct()
+    return scratch.cut(canon.join(total, ["kind", "canon"]).select("kind", "token", "canon", "n_canon", "first_share")), scratch.cut(options)
+
+
+def alike(a: str, b: str) -> Column:
+    """Similarity of two tokens: one less the edits (a swap of neighbours is one) over the longer length, of the texts or, a little less, of their sounds."""
+    edits = lambda x, y: 1 - F.when(F.col(x) == F.col(y), 0).when(one_edit(x, y), 1).otherwise(F.levenshtein(x, y)) / F.greatest(F.length(x), F.length(y), F.lit(1))
+    return F.greatest(edits(a, b), edits(f"_s_{a}", f"_s_{b}") - 0.05)
+
+
+def with_sounds(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({f"_s_{c}": sound(F.col(c)) for c in columns})
 
 
 def short_forms(parsed: DataFrame, canon: DataFrame, aliases: DataFrame, share: float = 0.2) -> DataFrame:
@@ -159,7 +189,7 @@ def short_forms(parsed: DataFrame, canon: DataFrame, aliases: DataFrame, share:
     return listed.unionByName(further.select("short", F.coalesce("top", "full").alias("full"))).distinct()
 
 
-def person_keys(parsed: DataFrame, canon: DataFrame, shorts: DataFrame, scratch: Scratch) -> DataFrame:
+def person_keys(parsed: DataFrame, canon: DataFrame, options: DataFrame, shorts: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(name, group, score) of the persons' names that could be settled."""
     c = canon.where("kind = 'person'").drop("kind")
     n_all = F.lit(float(max(1, c.count())))
@@ -203,14 +233,28 @@ def person_keys(parsed: DataFrame, canon: DataFrame, shorts: DataFrame, scratch:
     done = named.join(fits.withColumnRenamed("b", "g"), ["fam", "g"], "left").withColumn(
         "gg", F.when(F.col("n") == 1, F.col("cand")).when(F.col("n") > 1, F.lit("?")).otherwise(F.col("g"))
     )
-    alike = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    done = scratch.cut(done.where("gg <> '?'").select("name", "fam_raw", "giv_raw", "fam", "gg", "fam_n", "giv_n", (F.col("gg") == F.col("giv")).alias("as_typed")))
+    # representatives, and the names that may mean one of them: near in both tokens
+    reps = done.join(counts.where("kind = 'person'"), "name").groupBy("fam", "gg").agg(F.sum("n").alias("support"))
+    near = options.where("kind = 'person'").select("token", "option")
+    fams, givs = near.toDF("fam_raw", "f2"), near.toDF("giv_raw", "g2")
+    plain = F.col("as_typed") & (F.length("gg") > 1)
+    pairs = done.where(plain).join(givs, "giv_raw").unionByName(done.where(~plain).withColumn("g2", F.col("gg"))).join(fams, "fam_raw")
+    pairs = pairs.join(reps.select(F.col("fam").alias("f2"), F.col("gg").alias("g2"), "support"), ["f2", "g2"])
+    pairs = with_sounds(pairs, "fam_raw", "f2", "giv_raw", "g2")
     w1, w2 = F.log(1 + n_all / F.col("fam_n")), F.log(1 + n_all / F.col("giv_n"))
-    s2 = F.when(F.col("gg") != F.col("giv"), F.lit(0.85)).otherwise(alike(F.col("giv_raw"), F.col("gg")))
-    score = (w1 * alike(F.col("fam_raw"), F.col("fam")) + w2 * s2) / (w1 + w2)
-    return done.where("gg <> '?'").select("name", F.concat_ws("|", F.lit("p"), "fam", "gg").alias("group"), score.alias("score"))
+    given = F.when(~F.col("as_typed"), 0.85).otherwise(alike("giv_raw", "g2"))
+    score = F.round((w1 * alike("fam_raw", "f2") + w2 * given) / (w1 + w2), 6)
+    return best(pairs.select("name", F.concat_ws("|", F.lit("p"), "f2", "g2").alias("group"), score.alias("score"), "support"))
+
+
+def best(scored: DataFrame) -> DataFrame:
+    """(name, group, score): each name's most similar representative; of equal ones the better supported, then the first."""
+    top = F.max_by(F.struct("group", "score"), F.struct(F.col("score"), F.col("support"), F.col("group")))
+    return scored.groupBy("name").agg(top.alias("t")).select("name", "t.*")
 
 
-def organisation_keys(parsed: DataFrame, canon: DataFrame, scratch: Scratch) -> DataFrame:
+def organisation_keys(parsed: DataFrame, canon: DataFrame, options: DataFrame, counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(name, group, score) of the organisations' names."""
     c = canon.where("kind = 'organisation'").drop("kind")
     n_all = F.lit(float(max(1, c.count())))
@@ -224,25 +268,32 @@ def organisation_keys(parsed: DataFrame, canon: DataFrame, scratch: Scratch) ->
             F.col("brand.token").alias("brand_raw"),
             F.col("brand.n_canon").alias("brand_n"),
             F.expr("array_join(transform(filter(w, x -> x.pos <> brand.pos), x -> x.canon), ' ')").alias("line"),
+            F.expr("array_join(transform(filter(w, x -> x.pos <> brand.pos), x -> x.token), ' ')").alias("line_raw"),
+            F.aggregate(F.expr("filter(w, x -> x.pos <> brand.pos)"), F.lit(0.0), lambda acc, x: acc + F.log(1 + n_all / x.n_canon)).alias("line_weight"),
         )
     )
     # abbreviated lines: the most frequent line with the same initials that they abbreviate
     lines = typed.groupBy("line").agg(F.count("*").alias("n")).withColumn("sig", F.expr("array_join(transform(split(line, ' '), x -> left(x, 1)), '')"))
     lines = scratch.cut(lines)
     pattern = F.expr("concat('^', array_join(transform(split(a, ' '), x -> concat(array_join(split(x, ''), '[a-z]*'), '[a-z]*')), ' '), '$')")
+    salt = F.pmod(F.hash("line"), F.lit(SALTS))  # common initials are many lines
     longer = (
-        lines.select(F.col("line").alias("a"), F.col("n").alias("na"), "sig")
-        .join(lines.select(F.col("line").alias("b"), F.col("n").alias("nb"), "sig"), "sig")
+        lines.select(F.col("line").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .join(lines.select(F.col("line").alias("b"), F.col("n").alias("nb"), "sig", salt.alias("salt")), ["sig", "salt"])
         .where("nb > na and length(b) > length(a) and a <> ''")
         .where(F.call_function("rlike", F.col("b"), pattern))
         .groupBy("a")
         .agg(F.max_by("b", F.struct("nb", "b")).alias("line_full"))
     )
-    done = typed.join(longer.withColumnRenamed("a", "line"), "line", "left").withColumn("to", F.coalesce("line_full", "line"))
-    alike = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
-    w1, w2 = F.log(1 + n_all / F.col("brand_n")), F.lit(1.0)
-    score = (w1 * alike(F.col("brand_raw"), F.col("brand")) + w2 * F.when(F.col("line") == F.col("to"), 1.0).otherwise(0.85)) / (w1 + w2)
-    return done.select("name", F.concat_ws("|", F.lit("o"), "brand", "to").alias("group"), score.alias("score"))
+    done = scratch.cut(typed.join(longer.withColumnRenamed("a", "line"), "line", "left").withColumn("to", F.coalesce("line_full", "line")).drop("line_full"))
+    reps = done.join(counts.where("kind = 'organisation'"), "name").groupBy("brand", "to").agg(F.sum("n").alias("support"))
+    near = options.where("kind = 'organisation'").select(F.col("token").alias("brand_raw"), F.col("option").alias("b2"))
+    pairs = done.select("name", "brand_raw", "brand_n", "line", "line_raw", "line_weight", "to").join(near, "brand_raw")
+    pairs = with_sounds(pairs.join(reps.select(F.col("brand").alias("b2"), "to", "support"), ["b2", "to"]), "brand_raw", "b2", "line_raw", "to")
+    w1 = F.log(1 + n_all / F.col("brand_n"))
+    of_line = F.when(F.col("line") != F.col("to"), 0.85).otherwise(alike("line_raw", "to"))
+    score = F.round((w1 * alike("brand_raw", "b2") + F.col("line_weight") * of_line) / (w1 + F.col("line_weight")), 6)
+    return best(pairs.select("name", F.concat_ws("|", F.lit("o"), "b2", "to").alias("group"), score.alias("score"), "support"))
 
 
 def link_names(entities: DataFrame, aliases: DataFrame, *, entity_id: str = "entity_id", name: str = "name", type_: str = "type", min_score: float = 0.6) -> DataFrame:
@@ -255,15 +306,16 @@ def link_names(entities: DataFrame, aliases: DataFrame, *, entity_id: str = "ent
     )
     parsed = parse(rows.select("kind", "name").distinct())
     parsed = scratch.cut(parsed)
+    counts = rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
     words = F.filter("tokens", lambda x: F.length(x) > 1)
     main = rows.join(parsed, ["kind", "name"]).select("kind", F.posexplode(words).alias("pos", "token"), F.size(words).alias("of"))
     tokens = main.select("kind", "token", F.when(F.col("of") > 1, F.col("pos") == 0).alias("first"))
     nicks = rows.join(parsed, ["kind", "name"]).where("length(nick) > 1").select("kind", F.col("nick").alias("token"), F.lit(None).cast("boolean").alias("first"))
     listed = aliases.select(F.explode(F.array(F.lower(F.trim("short_name")), F.lower(F.trim("given_name")))).alias("token")).where("token is not null").distinct()
-    canon = spellings(tokens.unionByName(nicks), listed, scratch)
+    canon, options = spellings(tokens.unionByName(nicks), listed, scratch)
     shorts = scratch.cut(short_forms(parsed, canon, aliases))
-    keys = person_keys(parsed, canon, shorts, scratch).withColumn("kind", F.lit("person")).unionByName(
-        organisation_keys(parsed, canon, scratch).withColumn("kind", F.lit("organisation"))
+    keys = person_keys(parsed, canon, options, shorts, counts, scratch).withColumn("kind", F.lit("person")).unionByName(
+        organisation_keys(parsed, canon, options, counts, scratch).withColumn("kind", F.lit("organisation"))
     )
     keys = keys.where(F.col("score") >= min_score).select("kind", "name", F.col("group").alias("group_id"))
     return rows.join(keys, ["kind", "name"]).select("entity_id", "kind", "name", "group_id")
