@@ -18,6 +18,11 @@ def us(*a, zone="UTC"):
 
 
 CASES = [
+    ("1739655933123456", None, None, 1739655933_123456),
+    ("epoch 1739655933123456789", "Asia/Dubai", None, 1739655933_123456),
+    ("ts=999655933", None, None, 999655933_000000),
+    ("1 Mar 24 10:00", None, None, us(2024, 3, 1, 10)),
+    ("on 01-Mar-24 at 09:05 IST", None, None, us(2024, 3, 1, 3, 35)),
     ("seen 2025-05-23T20:15:36+00:00 ok", None, None, us(2025, 5, 23, 20, 15, 36)),
     ("2025-05-20T21:59:56.658209999Z", "Europe/London", None, us(2025, 5, 20, 21, 59, 56) + 658209),
     ("Wed, 19 Feb 2025 15:26:02 +0530", "Europe/London", None, us(2025, 2, 19, 9, 56, 2)),
@@ -53,7 +58,7 @@ CASES = [
 ]
 NONE = [
     ("night of 20 May 2026", "Asia/Kolkata", None), ("Caller logged plate ZZ 12 AB 3456", None, None), ("some time afterwards", None, "2024-01-01"), ("no time given", None, None),
-    ("seven days later", None, None), ("18:10 to 19:10", None, None), ("31/02/2025", None, None), ("25:10 on 01/02/2025", None, "x"), ("serial 5512, room 12", None, None),
+    ("seven days later", None, None), ("18:10 to 19:10", None, None), ("31/02/2025", None, None), ("25:10 on 01/02/2025", None, "x"), ("serial 5512, room 12", None, None), ("account 1739655933123456 was frozen", None, None), ("ref 999655933", None, None),
     ("27/10/2024 02:41", "Europe/Berlin", None), ("31/03/2024 02:15", "Europe/Berlin", None), ("2024-05-05 10:00", "Mars/Base", None), ("", None, None), ("   ", None, None), (None, None, None),
 ]
 

@@ -41,7 +41,7 @@ _CLASS = (
     | {"epoch": "e", "ts": "e", "ts_ms": "e"}
 )
 _TOKEN = re.compile(r"\d+|ts_ms|[^\W\d_]+|\s+|.", re.S)
-_DIGITS = {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "6", 7: "7", 8: "8", 9: "9", 10: "E", 13: "K"}
+_DIGITS = {1: "1", 2: "2", 3: "3", 4: "4", 5: "5", 6: "6", 7: "7", 8: "8", 9: "9", 10: "E", 13: "K", 16: "Q", 19: "R"}
 _PUNCT = {"–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-"}
 
 
@@ -62,7 +62,7 @@ def tokens_of(text: str) -> tuple[list[str], str]:
     return toks, "".join(mask)
 
 
-_N = "[0-9EK]"
+_N = "[0-9EKQR]"
 _OFF = r"(?:(?P<sign>[+-])(?P<oh>[12])(?::(?P<om>2))?|(?P<osign>[+-])(?P<o4>4)|(?P<utc>[ZU])|(?P<abbr>A)|U(?P<usign>[+-])(?P<uh>[12])(?::(?P<um>2))?)"
 _OFF = _OFF.replace("(?P<utc>[ZU])", "(?P<utc>[ZU])(?![+-][12])")
 _CLOCK = r"(?P<h>[12]):(?P<mi>2)(?::(?P<s>2)(?:\.(?P<fr>" + _N + r"))?)?(?: ?(?P<ap>P))?(?: ?" + _OFF + ")?"
@@ -70,13 +70,15 @@ _HHMM = r"(?P<hm>4) ?H(?: ?" + _OFF + ")?"
 _DMY = r"(?P<d>[12])(?P<sep>[-/.])(?P<mo>[12])(?P=sep)(?P<y>[42])"
 _YMD = r"(?P<y>4)(?P<sep>[-/.])(?P<mo>[12])(?P=sep)(?P<d>[12])"
 _DMONY = r"(?P<d>[12])s?[ -]?(?:o )?(?P<mn>M)\.?,?[ -]?(?P<y>4)"
+_DMONYY = r"(?P<d>[12])(?P<sep>[- ])(?P<mn>M)(?P=sep)(?P<y>2)"
 _MOND = r"(?P<mn>M)\.? (?P<d>[12])s?,? (?P<y>4)"
 _JOIN = r"(?:,? ?[@B] | ?, ?|T| )"
-_L, _R = r"(?<![0-9EK:/+\-])", r"(?![0-9EK]|[:/\-+][0-9EK])"
+_L, _R = r"(?<![0-9EKQR:/+\-])", r"(?![0-9EKQR]|[:/\-+][0-9EKQR])"
 #: Shapes in the order in which they are tried; the first that occurs anywhere in the mask wins.
 SHAPES = [
     ("none", r"D o (?:" + "|".join((r"[12]s?[ -]?(?:o )?M", r"M [12]", r"[12][-/.][12]", r"4-")) + ")"),
     *[("moment", _L + date + _JOIN + _CLOCK) for date in (_YMD, _DMY, _DMONY, _MOND)],
+    ("moment", _L + _DMONYY + _JOIN + _CLOCK),
     *[("moment", _L + date + _JOIN + _HHMM) for date in (_MOND, _DMONY, _YMD, _DMY)],
     *[("moment", _L + clock + r",? (?:@ )?" + date + _R) for clock in (_HHMM, _CLOCK) for date in (_DMY, _DMONY, _MOND, _YMD)],
     ("moment", _L + r"(?P<ymd>8)T?(?P<hms>6)" + "(?: ?" + _OFF + ")?"),
@@ -84,8 +86,10 @@ SHAPES = [
     *[("moment", _L + date + _R) for date in (_YMD, _DMONY, _MOND, _DMY)],
     ("moment", _L + r"(?P<mn>M)\.?,? (?P<y>4)" + _R),
     ("moment", _L + r"(?P<mo>[12])/(?P<y>4)" + _R),
-    ("epoch", r"(?<![0-9EK+\-:/])(?P<ms>K)(?![0-9EK:/\-])"),
-    ("epoch", r"(?<![0-9EK+\-:/])(?P<sec>E)(?![0-9EK:/\-])"),
+    ("epoch", r"(?<![0-9EKQR+\-:/])(?P<ms>K)(?![0-9EKQR:/\-])"),
+    ("epoch", r"(?<![0-9EKQR+\-:/])(?P<sec>E)(?![0-9EKQR:/\-])"),
+    # of other widths only where nothing else is there or the text says that it is one
+    *[("epoch", before + field + r"(?![0-9EKQR:/\-])" + after) for before, after in (("^", "$"), (r"e ?[:=]? ?", "")) for field in ("(?P<us>Q)", "(?P<ns>R)", "(?P<sec>9)")],
     ("relative", r"(?P<n>N|[12]) d (?:l|f h)"),
     ("clock", _L + r"(?P<h>[12]):(?P<mi>2)(?: ?(?P<ap>P))? ?[-~&] ?[12]:2"),  # a range, not an offset
     ("clock", _L + _CLOCK),
@@ -125,7 +129,7 @@ def _read(kind: str, at: dict[str, int], toks: list[list[str]], ref_day: np.ndar
     num = lambda k: _ints(col(k))
     ok, off, known = np.ones(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
     if kind == "epoch":
-        us = num("ms") * 1_000 if "ms" in at else num("sec") * 1_000_000
+        us = num("ms") * 1_000 if "ms" in at else num("us") if "us" in at else num("ns") // 1_000 if "ns" in at else num("sec") * 1_000_000
         return us, off, ~known, ok
     if kind == "relative":
         words = [str(NUMBERS.index(w)) if w in NUMBERS else w for w in col("n")]
@@ -177,6 +181,7 @@ def _read(kind: str, at: dict[str, int], toks: list[list[str]], ref_day: np.ndar
 _REF = re.compile(r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})")
 
 
+@lru_cache(maxsize=100_000)
 def reference_day(text) -> int | None:
     """Day number of a reference date: ISO first, else any date the shapes can read."""
     if not isinstance(text, str) or not text.strip():
@@ -201,7 +206,7 @@ def to_utc(texts: pd.Series, zones: pd.Series, references: pd.Series, table: Zon
         if isinstance(t, str) and t.strip():
             toks[i], mask = tokens_of(t)
             groups.setdefault(parser_of(mask), []).append(i)
-    days = [reference_day(r) for r in references]
+    days = [reference_day(r if isinstance(r, str) else None) for r in references]
     zone = [z.strip() if isinstance(z, str) and z.strip() else "" for z in zones]
     for (kind, at), rows in groups.items():
         if kind == "none":
