@@ -90,3 +90,36 @@ def test_parts():
 
     c = chains(np.array([0, 1, 2, 90, 91]), np.array([5, 6, 7, 8, 9]))
     assert sorted(len(x) for x in c) == [2, 3]
+
+
+def test_longest_stretch_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(200):
+        match, at = [], 0
+        for _ in range(rng.randint(1, 40)):
+            at += 1 if rng.random() < 0.85 else rng.randint(2, 9)
+            match.append(at if rng.random() < 0.85 else -1)
+        seen = [i for i, m in enumerate(match) if m >= 0]
+        best = 0
+        for x, i in enumerate(seen):
+            for y in range(x, len(seen)):
+                j = seen[y]
+                cost = sum(m < 0 for m in match[i : j + 1]) + sum(max(0, match[q] - match[p] - (q - p) - 4) for p, q in zip(seen[x:y], seen[x + 1 : y + 1]))
+                if cost <= 0.1 * (j - i + 1) + 1e-9:
+                    best = max(best, j - i + 1)
+        first, last = longest_stretch(match, 0.1, 4)
+        assert last - first + 1 == best
+    big = list(range(30_000))
+    assert longest_stretch(big, 0.1, 4) == (0, 29_999)
+
+
+def test_changes_packed_at_one_end(spark):
+    """A stretch of 40 words of which the first 20 hold all four changes, so that no five of them go along."""
+    rng = random.Random(1)
+    item = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(100)]
+    copied = list(item[30:70])
+    for i in (4, 9, 14, 19):
+        copied[i] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(["other"] * 30 + copied + ["more"] * 30)), (2, " ".join(["other"] * 30 + copied[3:] + ["more"] * 30))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id int, text string")
+    assert [(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()] == [(1, 7)]

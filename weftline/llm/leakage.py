@@ -198,7 +198,7 @@ def align(doc: list[str], item: list[str], band: int) -> list[int]:
     return out
 
 
-def follow(chain: list[tuple[int, int]], n: int, doc: list[str], item: list[str], least: int, stretch, reach: int) -> list[int]:
+def follow(chain: list[tuple[int, int]], n: int, doc: list[str], item: list[str], least: int, stretch, reach: int, slack: int) -> list[int]:
     """For each item word the document word it matches, or -1, along a chain of hits.
 
     Words inside hits are equal by construction; only the holes between hits are aligned, and the
@@ -219,17 +219,25 @@ def follow(chain: list[tuple[int, int]], n: int, doc: list[str], item: list[str]
                 part = align(doc[a:b], item[p + 1 : q], b - a + 1)
                 match[p + 1 : q] = [a + m if m >= 0 else -1 for m in part]
     first, last = stretch(match)
-    if last - first + 1 + 2 * reach < least:
+    if last - first + 1 + slack < least:
         return match
     p, w = chain[-1][1] + n, chain[-1][0] + n
-    if p < len(item) and w < len(doc):
+    while p < len(item) and w < len(doc):  # on as long as half of the next words go along
         part = align(doc[w : w + reach + 8], item[p : p + reach], 8)
-        match[p : p + reach] = [w + m if m >= 0 else -1 for m in part]
+        match[p : p + len(part)] = [w + m if m >= 0 else -1 for m in part]
+        hit = [k for k, m in enumerate(part) if m >= 0]
+        if 2 * len(hit) < reach:
+            break
+        p, w = p + hit[-1] + 1, w + part[hit[-1]] + 1
     w, p = chain[0]
-    if p > 0 and w > 0:
+    while p > 0 and w > 0:
         d0, i0 = max(0, w - reach - 8), max(0, p - reach)
         part = align(doc[d0:w][::-1], item[i0:p][::-1], 8)
         match[i0:p] = [w - 1 - m if m >= 0 else -1 for m in part][::-1]
+        hit = [k for k, m in enumerate(part) if m >= 0]
+        if 2 * len(hit) < reach:
+            break
+        p, w = p - hit[-1] - 1, w - part[hit[-1]] - 1
     return match
 
 
@@ -244,14 +252,15 @@ def longest_stretch(match: list[int], max_changed: float, insert_free: int) -> t
     jump = np.diff(m[seen]) - np.diff(seen)  # document words inserted before a matched word
     cost[seen[1:]] += np.maximum(0, jump - insert_free)
     total = np.concatenate([[0.0], np.cumsum(cost)])
-    first, last = np.meshgrid(seen, seen, indexing="ij")
-    length = last - first + 1
-    inner = total[last + 1] - total[first] - cost[first] + (m[first] < 0)
-    good = (length > 0) & (inner <= max_changed * length + 1e-9)
-    if not good.any():
+    # [first, last] is good where a[last] <= b[first]; of the firsts, the running maximum of b meets each last soonest
+    a = total[seen + 1] - max_changed * (seen + 1)
+    b = np.maximum.accumulate(total[seen] + cost[seen] - max_changed * seen)
+    first = np.searchsorted(b, a - 1e-9)
+    good = np.flatnonzero(first <= np.arange(len(seen)))
+    if not len(good):
         return 0, -1
-    best = int(np.argmax(np.where(good, length, 0)))
-    return int(first.flat[best]), int(last.flat[best])
+    best = good[np.argmax(seen[good] - seen[first[good]])]
+    return int(seen[first[best]]), int(seen[best])
 
 
 def _scan(ids: np.ndarray, texts: list[str], grams: NgramSet) -> list[tuple]:
@@ -268,13 +277,13 @@ def _scan(ids: np.ndarray, texts: list[str], grams: NgramSet) -> list[tuple]:
     for d, k, where, place in grams.candidates(h, doc_w):
         item, doc, least = grams.words[k], words[d], grams.least_words(k)
         best = None
-        # beyond its outer hits a passage can go on for less than two windows with a change between
-        reach = 2 * grams.n + 2
+        # ends are followed in steps of two windows; the changes allowed can keep hits from so many words of a passage
+        reach, slack = 2 * grams.n + 2, int(least * grams.n * grams.max_changed) + 2 * grams.n
         stretch = lambda m: longest_stretch(m, grams.max_changed, grams.insert_free)
         for chain in chains(where - begin[d], place):
-            if chain[-1][1] + grams.n - chain[0][1] + 2 * reach < least:
+            if chain[-1][1] + grams.n - chain[0][1] + slack < least:
                 continue
-            match = follow(chain, grams.n, doc, item, least, stretch, reach)
+            match = follow(chain, grams.n, doc, item, least, stretch, reach, slack)
             a, b = stretch(match)
             if b - a + 1 >= least and (best is None or b - a + 1 > best[0]):
                 best = (b - a + 1, match[a], match[b])
