@@ -29,6 +29,8 @@ COMPATIBLE_TYPES = (
 )
 #: Adjacency rows (both directions) up to which a graph is collected and broadcast: 60 MB as arrays.
 MAX_ADJACENCY = 4_000_000
+#: Nodes up to which their feature rows (some 200 bytes each) are broadcast.
+MAX_FEATURE_ROWS = 200_000
 #: Entity types of the one-hot part of the node features, in order (fixed values).
 NODE_TYPES = ("PERSON", "PHONE", "VEHICLE", "LOCATION", "ORGANIZATION", "ACCOUNT", "DEVICE", "EVENT", "DOCUMENT")
 #: Neighbour types whose shares are features, in order (fixed values).
@@ -457,6 +459,8 @@ def link_scores(vertices: DataFrame, edges: DataFrame, least: float = 0.5) -> Da
     f = node_features(vertices, edges)
     deg = adjacency(edges).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("deg"))
     side = f.join(vertices.select("id", F.upper("type").alias("type")), "id").join(deg, "id", "left").na.fill(0, ["deg"])
+    if vertices.count() <= MAX_FEATURE_ROWS:  # else the pairs are shuffled to the features
+        side = F.broadcast(Scratch(vertices.sparkSession, "graph-features").cut(side))
     left = side.select(F.col("id").alias("a"), F.col("f").alias("fa"), F.col("type").alias("ta"), F.col("deg").alias("da"))
     right = side.select(F.col("id").alias("b"), F.col("f").alias("fb"), F.col("type").alias("tb"), F.col("deg").alias("db"))
     ok = F.concat_ws("~", "ta", "tb").isin(*{f"{x}~{y}" for p in COMPATIBLE_TYPES for x, y in (p, p[::-1])})
