@@ -511,3 +511,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         lineage.shared_dir(Fake)
+
+
+def _two_paths(spark, monkeypatch):
+    """Two components of four adjacency rows each, where eight are more than a task may hold and joins are refused."""
+    monkeypatch.setattr(graph, "MAX_ADJACENCY", 6)
+    monkeypatch.setattr(graph, "distances", lambda *_: pytest.fail("quadratic rows"))
+    return nodes(spark, "abcxyzo"), edges(spark, "a-b", "b-c", "x-y", "z-y")
+
+
+def test_average_path_length_by_component(spark, monkeypatch):
+    r = graph.average_path_length(*_two_paths(spark, monkeypatch)).first()
+    assert (r.avg_path_length, r.n_pairs) == (1.33, 12)
