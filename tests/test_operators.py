@@ -523,3 +523,8 @@ def _two_paths(spark, monkeypatch):
 def test_average_path_length_by_component(spark, monkeypatch):
     r = graph.average_path_length(*_two_paths(spark, monkeypatch)).first()
     assert (r.avg_path_length, r.n_pairs) == (1.33, 12)
+
+
+def test_top_closeness_by_component(spark, monkeypatch):
+    top = graph.top_nodes(graph.closeness_of(*_two_paths(spark, monkeypatch)), "closeness", 2)
+    assert [(r.id, r.closeness) for r in top.collect()] == [("b", 0.3333), ("y", 0.3333)]
