@@ -528,3 +528,8 @@ def test_average_path_length_by_component(spark, monkeypatch):
 def test_top_closeness_by_component(spark, monkeypatch):
     top = graph.top_nodes(graph.closeness_of(*_two_paths(spark, monkeypatch)), "closeness", 2)
     assert [(r.id, r.closeness) for r in top.collect()] == [("b", 0.3333), ("y", 0.3333)]
+
+
+def test_betweenness_by_component(spark, monkeypatch):
+    got = {r.id: r.betweenness for r in graph.betweenness_of(*_two_paths(spark, monkeypatch)).collect()}
+    assert got == {"b": 0.066667, "y": 0.066667} | dict.fromkeys("acxzo", 0.0)
