@@ -533,3 +533,14 @@ def test_top_closeness_by_component(spark, monkeypatch):
 def test_betweenness_by_component(spark, monkeypatch):
     got = {r.id: r.betweenness for r in graph.betweenness_of(*_two_paths(spark, monkeypatch)).collect()}
     assert got == {"b": 0.066667, "y": 0.066667} | dict.fromkeys("acxzo", 0.0)
+
+
+def test_graph_run_by_component(spark, monkeypatch):
+    v, e = _two_paths(spark, monkeypatch)
+    by_joins = {r.id: round(r["rank"], 6) for r in graph.pagerank(v, e).collect()}
+    monkeypatch.setattr(graph, "Scratch", type("Counted", (graph.Scratch,), {"made": 0, "cut": lambda s, d: setattr(type(s), "made", s.made + 1) or graph.Scratch.__mro__[1].cut(s, d)}))
+    run = graph.analyse(v, e)
+    assert graph.Scratch.made < 30  # ranks make no table a round
+    assert {r.id: r["rank"] for r in run.collect()} == by_joins
+    assert [r.id for r in graph.top_nodes(run, "betweenness", 2).collect()] == ["b", "y"]
+    assert {(r.component, r.n_nodes, r.top) for r in graph.component_leads(run).collect()} == {("a", 3, "b,a,c"), ("x", 3, "y,x,z"), ("o", 1, "o")}
