@@ -544,3 +544,10 @@ def test_graph_run_by_component(spark, monkeypatch):
     assert {r.id: r["rank"] for r in run.collect()} == by_joins
     assert [r.id for r in graph.top_nodes(run, "betweenness", 2).collect()] == ["b", "y"]
     assert {(r.component, r.n_nodes, r.top) for r in graph.component_leads(run).collect()} == {("a", 3, "b,a,c"), ("x", 3, "y,x,z"), ("o", 1, "o")}
+
+
+def test_two_hop_pairs_by_component(spark, monkeypatch):
+    v, e = _two_paths(spark, monkeypatch)
+    pairs = graph.fallback_leads(e)
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+    assert {(r.a, r.b, r.shared, round(r.score, 6)) for r in pairs.collect()} == {("a", "c", 1, 0.64), ("x", "z", 1, 0.64)}

@@ -414,20 +414,45 @@ def average_path_length(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def two_hop(edges: DataFrame) -> DataFrame:
     """(a, b, shared), a < b: pairs with a common neighbour and no edge, and how many they share.
 
-    Paths through a node grow with the square of its degree; the counts are combined before the
-    shuffle, and only pairs that share something ever exist.
+    A node's pairs are counted by the task that has its component, so paths are neither shuffled nor
+    written; with a component of more than ``MAX_ADJACENCY`` adjacency rows it goes by joins.
     """
-    adj = adjacency(edges)
-    mid = adj.select(F.col("a").alias("m"), F.col("b").alias("x"))
-    pairs = mid.join(mid.withColumnRenamed("x", "y"), "m").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("shared"))
-    return pairs.join(adj, ["a", "b"], "left_anti")
+    graph = _binned(edges)
+    if graph is None:
+        adj = adjacency(edges)
+        mid = adj.select(F.col("a").alias("m"), F.col("b").alias("x"))
+        pairs = mid.join(mid.withColumnRenamed("x", "y"), "m").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("shared"))
+        return pairs.join(adj, ["a", "b"], "left_anti")
+
+    def batch(g, run):
+        a = np.repeat([k for k, _, _ in run], [len(b) for _, b, _ in run])
+        b, shared = (np.concatenate([r[i] for r in run]) for i in (1, 2))
+        return pa.record_batch([g.ids.take(pa.array(a)), g.ids.take(pa.array(b)), pa.array(shared)], names=["a", "b", "shared"])
+
+    def work(g, sources):
+        run, rows = [], 0
+        for k in sources:
+            other, shared = g.two_hop(k)
+            if len(other):
+                run.append((k, other, shared))
+                rows += len(other)
+            if rows >= 100_000:
+                yield batch(g, run)
+                run, rows = [], 0
+        if run:
+            yield batch(g, run)
+
+    return graph.each(work, f"a {graph.kind}, b {graph.kind}, shared bigint")
 
 
 def fallback_leads(edges: DataFrame) -> DataFrame:
-    """Two-hop pairs scored by shared neighbours alone."""
-    near = F.least(F.lit(0.95), 0.72 + 0.08 * F.col("shared"))
-    score = F.least(F.lit(0.96), 0.50 * near + 0.35 * F.least(F.lit(1.0), 0.4 * F.col("shared")) + 0.10)
-    return two_hop(edges).withColumn("score", score)
+    """Two-hop pairs scored by shared neighbours alone, of which three score as much as more."""
+
+    def score(n: int) -> Column:
+        near = F.least(F.lit(0.95), 0.72 + 0.08 * F.lit(n))
+        return F.least(F.lit(0.96), 0.50 * near + 0.35 * F.least(F.lit(1.0), 0.4 * F.lit(n)) + 0.10)
+
+    return two_hop(edges).withColumn("score", F.when(F.col("shared") == 1, score(1)).when(F.col("shared") == 2, score(2)).otherwise(score(3)))
 
 
 def node_features(vertices: DataFrame, edges: DataFrame) -> DataFrame:
