@@ -551,3 +551,16 @@ def test_two_hop_pairs_by_component(spark, monkeypatch):
     pairs = graph.fallback_leads(e)
     assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
     assert {(r.a, r.b, r.shared, round(r.score, 6)) for r in pairs.collect()} == {("a", "c", 1, 0.64), ("x", "z", 1, 0.64)}
+
+
+def test_copresence_counts_shuffle_no_meetings(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([k, k - 1]), rng.randrange(9), rng.randrange(2), s := rng.randrange(20) / 5, s + rng.randrange(60) / 60, "APPROVED") for k in range(70)]
+    ev = events(spark, *rows).withColumn("conf", F.when(F.col("id") % 5 > 0, (F.col("id") % 7) / 10))
+    monkeypatch.setattr(spatial, "PIECE", 5)
+    monkeypatch.setattr(spatial, "MEETING_CELLS", 12)
+    c = spatial.copresence(ev).groupBy(F.least("a_pid", "b_pid").alias("p"), F.greatest("a_pid", "b_pid").alias("q"))
+    want = {tuple(r) for r in c.agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("score")).collect()}
+    got = spatial.copresence_counts(ev)
+    assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -41,8 +41,7 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copresence_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    c = X.copresence(_live(spark, sf))
-    return c.groupBy(F.least("a_pid", "b_pid").alias("p"), F.greatest("a_pid", "b_pid").alias("q")).agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("score"))
+    return X.copresence_counts(_live(spark, sf))
 
 
 def location_activity(spark: SparkSession, sf: str) -> DataFrame:
