@@ -3,6 +3,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from weftline.catalogue import graph as catalogue
 from weftline.catalogue import relational as relational_queries
 from weftline.functions import geo, text
 from weftline.functions import timewords
-from weftline.operators import ask, detect, extract, graph, ledger, relational, report, resolution, spatial, temporal
+from weftline.operators import ask, bins, detect, extract, graph, ledger, relational, report, resolution, spatial, temporal
 from weftline.plans import lineage
 from weftline.sources import files
 from weftline.sources import canon
@@ -564,3 +566,20 @@ def test_copresence_counts_shuffle_no_meetings(spark, monkeypatch):
     got = spatial.copresence_counts(ev)
     assert len(want) > 20 and sorted(map(tuple, got.collect())) == sorted(want)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_betweenness_keeps_dense_pieces_between_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(f"c{x:02d}", f"s{y}") for x, y in zip(rng.integers(0, 60, 400), rng.integers(0, 8, 400), strict=True)})
+    adj = pa.table({"a": [p[0] for p in pairs] + [p[1] for p in pairs], "b": [p[1] for p in pairs] + [p[0] for p in pairs]})
+    whole, built = {}, []
+    for most in (0, 10**6):
+        monkeypatch.setattr(bins, "TILE_BYTES", most, raising=False)
+        g = bins.Csr.of(adj["a"].combine_chunks(), adj["b"].combine_chunks())
+        monkeypatch.setattr(g, "_tile", lambda *x, of=g._tile, most=most: built.append((most, len(x[0]), len(x[1]))) or of(*x))
+        whole[most] = sum(g.dependencies(np.arange(k, min(k + 10, g.n))) for k in range(0, g.n, 10))
+    assert np.allclose(whole[0], whole[10**6], rtol=1e-12)
+    assert sum(m > 0 and {a, b} == {60, 8} for m, a, b in built) == 1 < sum(m == 0 and {a, b} == {60, 8} for m, a, b in built)
+    v, e = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string"), spark.createDataFrame(pairs, "src string, dst string")
+    by_joins = {r.id: r.betweenness for r in graph.betweenness(graph.distances(v, e), v.count()).collect()}
+    assert {r.id: r.betweenness for r in graph.betweenness_of(v, e).collect()} == by_joins
