@@ -583,3 +583,19 @@ def test_betweenness_keeps_dense_pieces_between_batches(spark, monkeypatch):
     v, e = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string"), spark.createDataFrame(pairs, "src string, dst string")
     by_joins = {r.id: r.betweenness for r in graph.betweenness(graph.distances(v, e), v.count()).collect()}
     assert {r.id: r.betweenness for r in graph.betweenness_of(v, e).collect()} == by_joins
+
+
+def test_component_leads_finds_components_once_and_only_its_measure(spark, monkeypatch):
+    v, e = _two_paths(spark, monkeypatch)
+    monkeypatch.setattr(catalogue, "_linked", lambda *_: (v, e))
+    whole, calls, of = {tuple(r) for r in graph.component_leads(graph.analyse(v, e)).collect()}, [], graph.components
+    monkeypatch.setattr(graph, "components", lambda *x: calls.append(1) or of(*x))
+    for other in ("closeness_of", "pagerank", "communities"):
+        monkeypatch.setattr(graph, other, lambda *_, **__: pytest.fail("not asked for"))
+    assert {tuple(r) for r in catalogue.component_leads(spark, "").collect()} == whole == {("a", 3, "PERSON=3", "b,a,c"), ("x", 3, "PERSON=3", "y,x,z"), ("o", 1, "PERSON=1", "o")}
+    assert len(calls) == 1
+
+
+def test_graph_run_does_not_join_components_by_nodes_left_out(spark):
+    run = graph.analyse(nodes(spark, "abd"), edges(spark, "a-b", "b-c", "c-d"), ("betweenness",))
+    assert {r.id: r.component for r in run.collect()} == {"a": "a", "b": "a", "d": "d"}
