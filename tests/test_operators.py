@@ -599,3 +599,28 @@ def test_component_leads_finds_components_once_and_only_its_measure(spark, monke
 def test_graph_run_does_not_join_components_by_nodes_left_out(spark):
     run = graph.analyse(nodes(spark, "abd"), edges(spark, "a-b", "b-c", "c-d"), ("betweenness",))
     assert {r.id: r.component for r in run.collect()} == {"a": "a", "b": "a", "d": "d"}
+
+
+def test_top_closeness_of_one_large_component(spark, monkeypatch):
+    """More than eight million adjacency rows: they are packed all the same and no pair of nodes is written."""
+    monkeypatch.setattr(graph, "distances", lambda *_: pytest.fail("quadratic rows"))
+    a, b = 2010, 2000
+    e = spark.range(a).select(F.concat(F.lit("C"), "id").alias("src")).crossJoin(spark.range(b).select(F.concat(F.lit("S"), "id").alias("dst")))
+    v = spark.range(a).select(F.concat(F.lit("C"), "id").alias("id")).unionByName(spark.range(b).select(F.concat(F.lit("S"), "id").alias("id")))
+    top = graph.top_nodes(graph.closeness_of(v, e), "closeness", 0).collect()
+    want = {"C": round((a + b - 1) / (b + 2 * (a - 1)), 4), "S": round((a + b - 1) / (a + 2 * (b - 1)), 4)}
+    assert len(top) == a + b and top[0].id == "S0" and {(r.id[0], r.closeness) for r in top} == set(want.items())
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_packed_pieces_hold_every_pair(spark, monkeypatch, kind):
+    monkeypatch.setattr(bins, "PIECE_ROWS", 700, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(int(x), int(1000 + y)) for x, y in zip(rng.integers(0, 900, 9000), rng.integers(0, 60, 9000), strict=True)] + [(2000, 2001), (2001, 2002)]
+    e = spark.createDataFrame(rows, "src bigint, dst bigint").select(*(F.col(c).cast(kind).alias(c) for c in ("src", "dst")))
+    v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    g = graph._binned(e)
+    packed = [F.coalesce(F.sum(F.length(c)), F.lit(0)) for c, t in g.table.dtypes if t == "binary"]
+    assert sum(g.table.select(*packed).first()) < sum(m for _, _, m in g.sizes)
+    by_joins = {r.id: r.closeness for r in graph.closeness(graph.distances(v, e), v.count()).collect()}
+    assert {r.id: r.closeness for r in graph.closeness_of(v, e, g).collect()} == by_joins
