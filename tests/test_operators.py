@@ -624,3 +624,56 @@ def test_packed_pieces_hold_every_pair(spark, monkeypatch, kind):
     assert sum(g.table.select(*packed).first()) < sum(m for _, _, m in g.sizes)
     by_joins = {r.id: r.closeness for r in graph.closeness(graph.distances(v, e), v.count()).collect()}
     assert {r.id: r.closeness for r in graph.closeness_of(v, e, g).collect()} == by_joins
+
+
+def _bipartite(seed: int, tail: bool) -> list[tuple[str, str]]:
+    """Many c with the same s as others, and with ``tail`` some that are up to eight steps apart."""
+    rng = random.Random(seed)
+    rows = {(f"c{rng.randrange(80):02d}", f"s{rng.randrange(9)}") for _ in range(220)} | {(f"c{k}x", f"s{rng.randrange(3)}") for k in range(30)} | {("z1", "z2")}
+    return sorted(rows | ({("c03", "s90"), ("c91", "s90"), ("c91", "s92")} if tail else set()))
+
+
+def _totals_by_joins(v, e):
+    return {tuple(r) for r in graph.distances(v, e).groupBy(F.col("s").alias("id")).agg(F.count("*"), F.sum("d")).collect()}
+
+
+@pytest.mark.parametrize(("seed", "tail", "most", "twins"), [(1, False, 100, 0.1), (2, True, 100, 0.1), (3, True, 100, 2.0), (4, True, 1, 0.1)])
+def test_path_totals_search_from_the_fewer_side(spark, monkeypatch, seed, tail, most, twins):
+    """Large bins of two sides, with twins merged or not, with nodes beyond four steps, and where too many of these are left."""
+    monkeypatch.setattr(graph, "LARGE_WORK", 0)
+    monkeypatch.setattr(graph, "MAX_REST", most)
+    monkeypatch.setattr(bins, "TWINS", twins)
+    monkeypatch.setattr(bins, "SMALL_ROWS", 20)
+    e = spark.createDataFrame(_bipartite(seed, tail), "src string, dst string")
+    v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    want = _totals_by_joins(v, e)
+    assert {tuple(r) for r in graph.hop_totals(v, e).collect()} == want
+
+
+def _packed(rows: list[tuple[str, str]]) -> bins.Csr:
+    return bins.Csr.of(pa.array([x for p in rows for x in p]), pa.array([x for p in rows for x in p[::-1]]))
+
+
+def test_twins_are_searched_from_once():
+    """A graph whose left side is repeated sixty times is searched as one copy; totals and shares are those of the whole."""
+    rows = [(f"c{k}-{c[1:]}", s) for c, s in _bipartite(5, True) if c != "z1" for k in range(60 if c < "c90" else 1)]
+    g = _packed(rows)
+    q, least = g.merged()
+    assert 20 * q.n < g.n and q.weight.sum() == g.n
+    for mine, whole in zip(q.hops(np.arange(q.n)), g.hops(np.arange(g.n)), strict=True):
+        assert (mine[least] == whole).all()
+
+
+@pytest.mark.parametrize("step", [256, 4_000_000])
+def test_searches_end_early_with_the_same_totals(monkeypatch, step):
+    """Sparse and dense graphs, of two sides or not, against a plain search."""
+    monkeypatch.setattr(bins, "STEP_BYTES", step)
+    rng = random.Random(9)
+    for odd, many in ((False, 60), (False, 500), (True, 60), (True, 400)):
+        rows = sorted({(rng.randrange(70), rng.randrange(70 if odd else 20) + (0 if odd else 70)) for _ in range(many)} | {(200 + k, 201 + k) for k in range(9)} | {(3, 200)})
+        pairs = [(f"n{x:03d}", f"n{y:03d}") for x, y in rows if x != y]
+        g = _packed(sorted({tuple(sorted(p)) for p in pairs}))
+        ids = g.ids.to_pylist()
+        brute = _brute_paths(ids, pairs)
+        reached, total = g.hops(np.arange(g.n))
+        assert [(len(brute[i][0]), sum(brute[i][0].values())) for i in ids] == list(zip(reached.tolist(), total.tolist(), strict=True))
