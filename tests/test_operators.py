@@ -677,3 +677,11 @@ def test_searches_end_early_with_the_same_totals(monkeypatch, step):
         brute = _brute_paths(ids, pairs)
         reached, total = g.hops(np.arange(g.n))
         assert [(len(brute[i][0]), sum(brute[i][0].values())) for i in ids] == list(zip(reached.tolist(), total.tolist(), strict=True))
+
+
+def test_twins_in_any_order():
+    near = {"n0": "1", "n1": "12", "n2": "123", "n3": "1", "n4": "1", "n5": "123"}
+    g = _packed([(n, f"z{z}") for n, zs in near.items() for z in zs])
+    q, least = g.merged()
+    assert q.ids.to_pylist() == ["n0", "n1", "n2", "z1", "z2", "z3"] and least.tolist() == [0, 1, 2, 0, 0, 2, 3, 4, 5]
+    assert (q.hops(np.arange(q.n))[1][least] == g.hops(np.arange(g.n))[1]).all()
