@@ -648,6 +648,9 @@ def test_path_totals_search_from_the_fewer_side(spark, monkeypatch, seed, tail,
     v = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     want = _totals_by_joins(v, e)
     assert {tuple(r) for r in graph.hop_totals(v, e).collect()} == want
+    t, n = sum(x[2] for x in want), sum(x[1] - 1 for x in want)
+    r = graph.average_path_length(v, e).first()
+    assert (r.avg_path_length, r.n_pairs) == (pytest.approx(t / n, abs=6e-3), n)
 
 
 def _packed(rows: list[tuple[str, str]]) -> bins.Csr:
@@ -662,6 +665,7 @@ def test_twins_are_searched_from_once():
     assert 20 * q.n < g.n and q.weight.sum() == g.n
     for mine, whole in zip(q.hops(np.arange(q.n)), g.hops(np.arange(g.n)), strict=True):
         assert (mine[least] == whole).all()
+    assert np.allclose(q.dependencies(np.arange(q.n))[least], g.dependencies(np.arange(g.n)), rtol=1e-12)
 
 
 @pytest.mark.parametrize("step", [256, 4_000_000])
