@@ -689,3 +689,10 @@ def test_twins_in_any_order():
     q, least = g.merged()
     assert q.ids.to_pylist() == ["n0", "n1", "n2", "z1", "z2", "z3"] and least.tolist() == [0, 1, 2, 0, 0, 2, 3, 4, 5]
     assert (q.hops(np.arange(q.n))[1][least] == g.hops(np.arange(g.n))[1]).all()
+
+
+def test_average_path_length_reads_its_nodes_before_the_searches(spark):
+    v = spark.range(4).select(F.concat(F.lit("n"), "id").alias("id"))
+    r = graph.average_path_length(v, edges(spark, "n0-n1", "n1-n2"))
+    assert "Range (" not in r._jdf.queryExecution().executedPlan().toString()
+    assert (r.first().avg_path_length, r.first().n_pairs) == (1.33, 6)

@@ -514,6 +514,7 @@ def statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def average_path_length(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: mean distance of the ordered pairs that reach each other (two places, 0 without any)."""
+    vertices = Scratch(vertices.sparkSession, "graph-lengths").cut(vertices.select("id").distinct())  # else read again beside the searches
     t = hop_totals(vertices, edges).agg(F.sum("total").alias("t"), F.sum(F.col("reached") - 1).alias("n"))
     return t.select(F.coalesce(F.round(F.when(F.col("n") > 0, F.col("t") / F.col("n")), 2), F.lit(0.0)).alias("avg_path_length"), F.col("n").alias("n_pairs"))
 
